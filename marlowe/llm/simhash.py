@@ -156,6 +156,11 @@ def plan(distinct: DataFrame, max_bits: int, most_parts: int = 5) -> Plan:
     return min((x for x in plans if x.thresholds), key=lambda x: x.cost)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits. Of signed numbers numpy counts the absolute value's bits, so they count as unsigned."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def spanning(values: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever values within max_bits of each other connect: breadth first over those not yet reached."""
     out, rest = [], values
@@ -163,7 +168,7 @@ def spanning(values: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.nda
         frontier, rest = [rest[0]], rest[1:]
         while frontier and rest.size:
             v = frontier.pop()
-            near = np.bitwise_count(rest ^ v) <= max_bits
+            near = apart(rest, v) <= max_bits
             if near.any():
                 found = rest[near]
                 out.append((np.full(found.size, v, np.int64), found))
@@ -184,7 +189,7 @@ def compare(max_bits: int, small: int = 12):
         for d in range(1, small):
             if g.size <= d:
                 break
-            near = np.flatnonzero((g[d:] == g[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= max_bits))
+            near = np.flatnonzero((g[d:] == g[:-d]) & (apart(f[d:], f[:-d]) <= max_bits))
             found.append((f[near], f[near + d]))
         big, values = group[~few_at], fps[~few_at]
         for run in np.split(values, np.flatnonzero(big[1:] != big[:-1]) + 1) if big.size else []:
