@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, without copies, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], rows: Callable[[list[str | None]], list]) -> DataFrame:
     """Appends ``fields``, computed by ``rows`` from each Arrow batch of texts, to all columns of ``df``.
 
@@ -68,12 +75,10 @@ def per_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], row
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
-        for batch in batches:
-            if kinds is None:
-                from pyspark.sql.pandas.types import to_arrow_type
+        from pyspark.sql.pandas.types import to_arrow_type
 
-                kinds = [to_arrow_type(t) for _, t in fields]
+        kinds = [to_arrow_type(t) for _, t in fields]
+        for batch in slices(batches):
             new = rows(batch.column(where).to_pylist())
             new = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(new, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)

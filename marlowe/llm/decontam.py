@@ -207,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
             if "items" not in kept:
                 kept["items"] = Items([i for i, _ in held.value], [t for _, t in held.value], q, share)
             items = kept["items"]
-            for batch in batches:
+            for batch in common.slices(batches):
                 got = [(d, items.ids[i], a, b, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, a, b, e in items.find(normal(t))]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], kinds[c]) for c in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
@@ -231,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
         def run(batches, held=held, kept=kept):
             if "items" not in kept:
                 kept["items"] = Items([i for i, _ in held.value], [t for _, t in held.value], q, share)
-            for batch in batches:
+            for batch in common.slices(batches):
                 yield batch.filter(pa.array([not t or not kept["items"].find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         plain = plain.mapInArrow(run, plain.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlowe.llm import common
-from marlowe.llm.pretokens import Pretokens, default_path
+from marlowe.llm.pretokens import default_path, shared
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard INT, path STRING, n_docs BIGINT, n_tokens BIGINT, length INT, rows INT"
@@ -132,7 +132,7 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
                 shard = TaskContext.get().partitionId()
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
                 fs.create_dir(root, recursive=True)
-                tok = Pretokens(path)
+                tok = shared(path)
                 out = ShardWriter(fs, f"{root}/{name}", length, rows, tok.tok.get_vocab_size() > 1 << 16)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out.add(doc_id, np.append(tok.encode(text.as_py()), np.uint32(end_id)))
