@@ -50,3 +50,46 @@ def rank_of_gold(run: DataFrame, qrels: DataFrame) -> DataFrame:
 def latency(times: DataFrame, by: str, ms: str) -> DataFrame:
     """Mean, population deviation, extremes, interpolated percentiles and throughput of each group."""
     return times.groupBy(by).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean_ms"), F.stddev_pop(ms).alias("std_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), *[F.percentile(ms, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)], (F.count(ms) / (F.sum(ms) / 1000)).alias("qps"))
+
+
+def graded(run: DataFrame, qrels: DataFrame, cuts: list[int] | None = None) -> DataFrame:
+    """(qid, k, ra_nwg, n_recall4) for queries with relevant documents.
+
+    ra_nwg is the rarity-weighted gain of the first k over the best k's, without discount; a document of grade g weighs
+    min(g / 5 x relevant / those of grade g, 5). n_recall4 counts grades of 4 and more over min(k, their number), null
+    where a query has none; both are null throughout if no grade exceeds 1.
+    """
+    cuts = cuts or CUTS
+    rel = qrels.where("grade > 0").select("qid", "doc_id", "grade")
+    counts = rel.groupBy("qid", "grade").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("qid"))
+    gains = counts.select("qid", "grade", (F.least(F.col("grade") / 5 * (total / F.col("n")), F.lit(5.0)) * F.col("grade")).alias("gain"))
+    rel = rel.join(gains, ["qid", "grade"])
+    best = rel.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("gain").desc(), "doc_id")))
+    grid = F.explode(F.array(*map(F.lit, cuts))).alias("k")
+    high = F.count_if(F.col("grade") >= 4)
+    want = best.select("*", grid).groupBy("qid", "k").agg(F.sum(F.when(F.col("at") <= F.col("k"), F.col("gain"))).alias("best"), high.alias("high"))
+    got = run.join(rel, ["qid", "doc_id"]).select("qid", "rank", "grade", "gain", grid).where("rank <= k").groupBy("qid", "k").agg(F.sum("gain").alias("gain"), high.alias("hits"))
+    is_graded = qrels.agg((F.max("grade") > 1).alias("graded"))
+    met = want.join(got, ["qid", "k"], "left").crossJoin(F.broadcast(is_graded))  # one row
+    return met.select("qid", "k", F.when(F.col("graded"), F.coalesce("gain", F.lit(0.0)) / F.col("best")).alias("ra_nwg"), F.when(F.col("graded") & (F.col("high") > 0), F.coalesce("hits", F.lit(0)) / F.least("k", "high")).alias("n_recall4"))
+
+
+def weighted(run: DataFrame, weights: DataFrame, gold: DataFrame, cuts: list[int]) -> DataFrame:
+    """(qid, k, recall, precision, rr, ndcg) by the overlap weights of run units with the relevant articles.
+
+    run: qid, unit, rank; weights: unit, article, weight; gold: qid, article. An article's recall is its weights' sum,
+    1 at most; its rank is that of the first unit that overlaps it. ndcg's ideal is the retrieved gains sorted.
+    """
+    gold = gold.select("qid", "article").distinct()
+    n = gold.groupBy("qid").agg(F.count("*").alias("n_gold"))
+    grid = F.explode(F.array(*map(F.lit, cuts))).alias("k")
+    hits = run.select("qid", "unit", "rank").join(weights, "unit").join(gold, ["qid", "article"]).where("weight > 0").select("*", grid).where("rank <= k")
+    by_article = hits.groupBy("qid", "k", "article").agg(F.sum("weight").alias("w"), F.min("rank").alias("first"))
+    a = by_article.groupBy("qid", "k").agg(F.sum(F.least(F.lit(1.0), F.col("w"))).alias("covered"), F.sum("w").alias("w"), F.sum(1 / F.col("first")).alias("rr"))
+    units = hits.groupBy("qid", "k", "rank").agg(F.sum("weight").alias("gain"))
+    units = units.withColumn("best", F.row_number().over(Window.partitionBy("qid", "k").orderBy(F.col("gain").desc(), "rank")))
+    u = units.groupBy("qid", "k").agg((F.sum(F.col("gain") / F.log2(F.col("rank") + 1)) / F.sum(F.col("gain") / F.log2(F.col("best") + 1))).alias("ndcg"))
+    zero = F.lit(0.0)
+    met = n.select("*", grid).join(a, ["qid", "k"], "left").join(u, ["qid", "k"], "left")
+    return met.select("qid", "k", F.coalesce(F.col("covered") / F.col("n_gold"), zero).alias("recall"), F.coalesce(F.col("w") / F.col("k"), zero).alias("precision"), F.coalesce(F.col("rr") / F.col("n_gold"), zero).alias("rr"), F.coalesce("ndcg", zero).alias("ndcg"))
