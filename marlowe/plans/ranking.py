@@ -30,6 +30,9 @@ def okapi(k1: float = 1.5, b: float = 0.75) -> str:
 
 VEC_Q = "SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 20"
 DENSE = f"SELECT qid, vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: q[i]::DOUBLE * embedding[i]::DOUBLE)) AS score FROM embeddings, ({VEC_Q}) WHERE vec_id <> qid"
+#: The stated query set: every id that 50 divides.
+STATED = "vec_id % 50 = 0"
+DENSE_STATED = f"SELECT qid, vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: q[i]::DOUBLE * embedding[i]::DOUBLE)) AS score FROM embeddings, (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE {STATED}) WHERE vec_id <> qid"
 DOC_DENSE = "SELECT qid, vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: q[i]::DOUBLE * embedding[i]::DOUBLE)) AS score FROM embeddings, (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark))"
 
 
@@ -124,9 +127,9 @@ def tfidf_cosine_topk(spark, sf_dir):
     return shown(retrieve.top_k(retrieve.tfidf(b.posts, b.terms, b.stats), 10))
 
 
-def vector_run(spark, sf_dir):
+def vector_run(spark, sf_dir, stated="vec_id < 20"):
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    q = v.where(stated).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
     return retrieve.dense(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label"), q).where("doc_id <> qid")
 
 
@@ -135,6 +138,12 @@ def dense_ip_topk(spark, sf_dir):
     return shown(retrieve.top_k(vector_run(spark, sf_dir), 10))
 
 
+@query(top(DENSE_STATED, 10))
+def dense_ip_topk_stated(spark, sf_dir):
+    """dense_ip_topk over the whole stated query set."""
+    return shown(retrieve.top_k(vector_run(spark, sf_dir, STATED), 10))
+
+
 @query(f"WITH f AS ({top(DENSE, 100)}) " + top("SELECT f.qid, f.doc_id, f.score FROM f JOIN embeddings e ON e.vec_id = f.doc_id WHERE label = 3", 5))
 def dense_postfilter_topk(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
