@@ -151,6 +151,16 @@ def dense_postfilter_topk(spark, sf_dir):
     return shown(retrieve.top_k(first.join(labels, "doc_id").where("label = 3"), 5))
 
 
+FETCHED = f"WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS first_rank FROM ({DENSE_STATED})) WHERE first_rank <= 500) "
+
+
+@query(FETCHED + top("SELECT f.qid, f.doc_id, f.score FROM f JOIN embeddings e ON e.vec_id = f.doc_id WHERE label = 3", 5))
+def dense_postfilter_topk_stated(spark, sf_dir):
+    """dense_postfilter_topk over the whole stated query set, with the reference's first cut of 500."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return shown(retrieve.filtered_top_k(vector_run(spark, sf_dir, STATED).join(labels, "doc_id"), F.col("label") == 3, 5, mode="post"))
+
+
 @query(f"WITH {BASE}, pool AS ({top(okapi(), 50)}), dn AS ({DOC_DENSE}) {top('SELECT dn.* FROM dn JOIN pool USING (qid, doc_id)', 10)}")
 def sgdr_topk(spark, sf_dir):
     b = Base(spark, sf_dir)

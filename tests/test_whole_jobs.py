@@ -36,3 +36,17 @@ def test_more_queries_than_are_broadcast(spark):
     q = v.select(F.col("doc_id").alias("qid"), F.col("vector").alias("query"))
     got = {(r["qid"], r["doc_id"]): r["score"] for r in retrieve.dense(v, q, most_queries=5).collect()}
     assert got == {(a, b): a * b + 1.0 for a in range(40) for b in range(40)}
+
+
+def test_the_first_cut_holds_500(spark, duck):
+    mine, got, want = both(spark, duck, "dense_postfilter_topk_stated")
+    assert got == want
+    v = duck.execute("SELECT vec_id, embedding, label FROM embeddings").fetchall()
+    most = {}
+    for q, e, _ in (x for x in v if x[0] % 50 == 0):
+        ranked = sorted((-round(sum(a * b for a, b in zip(e, f, strict=True)), 9), i, c) for i, f, c in v if i != q)[:500]
+        most[q] = [i for _, i, c in ranked if c == 3][:5]
+    found = {}
+    for r in sorted(mine.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["qid"], []).append(r["doc_id"])
+    assert found == {q: x for q, x in most.items() if x}
