@@ -205,6 +205,14 @@ def copies(u: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {p}D THEN {i}" for i, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
 
 
+def interval(spark, sf_dir, replicates: int) -> DataFrame:
+    """95 % percentile interval of the mean over users; partial sums leave each task, the exploded rows never do."""
+    r = units(spark, sf_dir).select("event_type", "user_id", "v", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("user_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    m = r.withColumn("h", h).withColumn("w", F.expr(copies("h"))).groupBy("event_type", "b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
+    return rounded(m.groupBy("event_type").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high")), 5)
+
+
 @query(f"""WITH u AS (SELECT event_type, user_id, round(avg(value), 9) AS v FROM events GROUP BY ALL), r AS (SELECT event_type, b, v, {DRAW} AS h FROM (SELECT u.*, b FROM u, (VALUES {LEFT}) t(b))),
 m AS (SELECT event_type, b, sum(v * w) / sum(w) AS mean FROM (SELECT event_type, b, v, {copies('h').replace('D THEN', ' THEN')} AS w FROM r) GROUP BY ALL)
 SELECT event_type, round(quantile_cont(mean, 0.025), 5) AS low, round(quantile_cont(mean, 0.975), 5) AS high FROM m GROUP BY event_type""")
@@ -214,7 +222,12 @@ def bootstrap_ci(spark, sf_dir):
     Each row draws its own number of copies for each replicate from a hash, so replicates are partial sums and no
     resample is ever shuffled; the draws are not those of a generator seeded on one machine.
     """
-    r = units(spark, sf_dir).select("event_type", "user_id", "v", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("user_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    m = r.withColumn("h", h).withColumn("w", F.expr(copies("h"))).groupBy("event_type", "b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
-    return rounded(m.groupBy("event_type").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high")), 5)
+    return interval(spark, sf_dir, 200)
+
+
+@query(f"""WITH u AS (SELECT event_type, user_id, round(avg(value), 9) AS v FROM events GROUP BY ALL), r AS (SELECT event_type, b, v, {DRAW} AS h FROM (SELECT u.*, b FROM u, range(2000) t(b))),
+m AS (SELECT event_type, b, sum(v * w) / sum(w) AS mean FROM (SELECT event_type, b, v, {copies('h').replace('D THEN', ' THEN')} AS w FROM r) GROUP BY ALL)
+SELECT event_type, round(quantile_cont(mean, 0.025), 5) AS low, round(quantile_cont(mean, 0.975), 5) AS high FROM m GROUP BY event_type""")
+def bootstrap_ci_2000(spark, sf_dir):
+    """bootstrap_ci with the reference's 2,000 replicates."""
+    return interval(spark, sf_dir, 2000)

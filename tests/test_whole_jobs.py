@@ -50,3 +50,10 @@ def test_the_first_cut_holds_500(spark, duck):
     for r in sorted(mine.collect(), key=lambda r: r["rank"]):
         found.setdefault(r["qid"], []).append(r["doc_id"])
     assert found == {q: x for q, x in most.items() if x}
+
+
+def test_bootstrap_makes_2000_replicates(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(analysis, "interval", lambda spark, sf_dir, n: asked.append(n))
+    registry.QUERIES["bootstrap_ci_2000"](spark, SF)
+    assert asked == [2000] and "range(2000)" in registry.SQL["bootstrap_ci_2000"]
