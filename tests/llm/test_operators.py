@@ -95,8 +95,8 @@ def test_pigeonhole_thresholds_sum():
 def test_html():
     model = html.train(300)
     wrong = total = 0
-    for names, y in html.training_set(60, 7):
-        z = model.decode(names)
+    for page, y in html.training_set(60, 7):
+        z = model.decode(page)
         wrong, total = wrong + sum(a != b for a, b in zip(y, z, strict=True)), total + len(y)
     assert wrong / total < 0.02
     page = "<nav><a href=x>menu</a></nav><article><h1>T &amp; U</h1><p>One\n two.<p><b>Three<br>four five</article><footer>&copy; foot</footer><script>var a='<p>no</p>'"
