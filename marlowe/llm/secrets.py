@@ -6,6 +6,7 @@ lies between, and running lengths of both give the places. Patterns run only whe
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,57 +26,74 @@ KINDS = ["assign", "access", "hex", "entropy"]
 class Entropy:
     """candidate: runs to look at. Windows of ``width`` characters slide over them; a run is a finding if a window's
     entropy in bits reaches the least of its class, the first whose pattern the whole run matches. allowed: patterns
-    of harmless runs, which are suppressed."""
+    of harmless runs, which are suppressed. A run starts at the window's width; "=" ends it but for padding, so that a
+    key glued to a name by it is judged by its own characters. Patterns repeat no group, as Java's recurse there."""
 
     width: int = 20
-    candidate: str = r"[A-Za-z0-9+/_=-]{24,}"
+    candidate: str = r"[A-Za-z0-9+/_-]{20,}={0,2}"
     classes: tuple[tuple[str, str, float], ...] = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("base32", r"^[A-Z2-7=]+$", 3.5), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8))
-    allowed: tuple[str, ...] = field(default=(r"^[A-Za-z]+$", r"^[a-z]+(?:[-_/][a-z]+)+$", r"^[0-9_/=+-]+$", r"(?i)example|placeholder|xxxx|changeme|lorem", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"))
+    allowed: tuple[str, ...] = field(default=(r"^[A-Za-z]+$", r"^[a-z_/-]+$", r"^[0-9_/=+-]+$", r"(?i)example|placeholder|xxxx|changeme|lorem", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"))
 
 
-def places(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of a pattern's leftmost non-overlapping matches; code points, end exclusive."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column, combine, zero: Column, piece: int = 128) -> Column:
+    """An array's running totals, for an associative ``combine``; array<bigint>.
+
+    Appending copies an array, so pieces of ``piece`` numbers are summed, the few sums are run through, and each piece goes on from its own start.
+    """
+    none = F.array().cast("array<bigint>")
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("found"))
+    def fold(some: Column, start: Column) -> Column:
+        state = F.struct(start.alias("now"), none.alias("past"))
+        return F.aggregate(some, state, lambda acc, x: let(combine(acc["now"], x), lambda n: F.struct(n.alias("now"), F.concat(acc["past"], F.array(n)).alias("past"))), lambda acc: acc["past"])
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["found"])
+    def pieces(all_: Column) -> Column:
+        at = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(piece))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(at, lambda k: F.slice(all_, k, F.lit(piece))), lambda parts: let(F.concat(F.array(zero), fold(F.transform(parts, lambda p: F.aggregate(p, zero, combine)), zero)), lambda starts: F.flatten(F.transform(parts, lambda p, i: fold(p, F.get(starts, i))))))
+
+    return let(numbers, pieces)
+
+
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, hit>> of a pattern's leftmost non-overlapping matches; code points, end exclusive."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("bigint"))
 
+    def with_ends(hits: Column) -> Column:
+        ends = running(F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: g + F.char_length(h)), lambda x, y: x + y, F.lit(0).cast("bigint"))
+        return F.zip_with(hits, ends, lambda h, e: F.struct((e - F.char_length(h)).cast("int").alias("start"), e.cast("int").alias("end"), h.alias("hit")))
 
-def plogp(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_ends)
 
 
 def highest_entropy(run: Column, width: int) -> Column:
     """The largest Shannon entropy, in bits, of the windows of ``width`` characters of a run at least that long.
 
-    H = log2(w) - S/w, where S sums n log2 n over the window's character counts n. The first window's S is counted;
-    sliding by one changes the counts of only the character that goes and the one that comes, and S by their terms.
+    H = log2(w) - S/w, where S sums n log2 n over the window's character counts n. The counts are kept: sliding by one
+    takes one from that of the character that goes, adds one to that of the one that comes, and changes S by their terms.
     """
-    first = F.substring(run, 1, width)
+    terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)])
 
-    def count(window: Column, ch: Column) -> Column:
-        return F.char_length(window) - F.char_length(F.replace(window, ch, F.lit("")))
+    def of_codes(codes: Column) -> Column:
+        first = F.slice(codes, 1, width)
+        counts = F.transform(F.sequence(F.lit(1).cast("bigint"), F.array_max(codes)), lambda c: F.size(F.filter(first, lambda x: x == c)))
+        start = let(counts, lambda held: let(F.aggregate(held, F.lit(0.0), lambda s, n: s + F.get(terms, n)), lambda s: F.struct(held.alias("counts"), s.alias("s"), s.alias("least"))))
 
-    start = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, ch: s + F.when(ch == "", F.lit(0.0)).otherwise(plogp(count(first, ch))))
-    zero = F.struct(start.alias("s"), start.alias("least"))
+        def slide(acc, x):
+            gone, come = x["gone"], x["come"]
+            a, b = F.get(acc["counts"], (gone - 1).cast("int")), F.get(acc["counts"], (come - 1).cast("int"))
+            counts = F.transform(acc["counts"], lambda n, i: n + F.when(i + 1 == come, 1).when(i + 1 == gone, -1).otherwise(0))
+            s = acc["s"] - F.get(terms, a) + F.get(terms, a - 1) - F.get(terms, b) + F.get(terms, b + 1)
+            return F.when(gone == come, acc).otherwise(let(s, lambda t: F.struct(counts.alias("counts"), t.alias("s"), F.least(acc["least"], t).alias("least"))))
 
-    def slide(acc, i):
-        core = F.substr(run, i + 1, F.lit(width - 1))
-        gone, come = F.substr(run, i, F.lit(1)), F.substr(run, i + F.lit(width), F.lit(1))
-        a, b = count(core, gone), count(core, come)
-        s = acc["s"] - plogp(a + 1) + plogp(a) - plogp(b) + plogp(b + 1)
-        return F.struct(s.alias("s"), F.least(acc["least"], s).alias("least"))
+        steps = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - width), F.slice(codes, F.lit(width + 1), F.size(codes)), lambda g, c: F.struct(g.alias("gone"), c.alias("come")))
+        return F.log2(F.lit(float(width))) - F.aggregate(steps, start, slide, lambda acc: acc["least"]) / width
 
-    steps = F.when(F.char_length(run) > width, F.sequence(F.lit(1), F.char_length(run) - width)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, zero, slide, lambda acc: acc["least"])
-    return F.log2(F.lit(float(width))) - least / width
+    codes = let(F.split(run, ""), lambda chars: let(F.array_distinct(chars), lambda letters: F.transform(chars, lambda ch: F.array_position(letters, ch))))
+    return let(codes, of_codes)
 
 
 def spans_of(text: Column, rules: Entropy = Entropy()) -> Column:
@@ -108,7 +126,9 @@ def spans_of(text: Column, rules: Entropy = Entropy()) -> Column:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Entropy = Entropy()) -> DataFrame:
     """(id, found) for every row, found an array of (start, kind, end) in code points, as ``spans_of`` gives them.
 
-    Null and empty texts have none; a text may have many. Repeated rows are scanned alike; other columns are left out.
+    Null and empty texts have none. A text of any length, with runs of any length and any number of matches, is scanned
+    whole, in time in proportion to its length (running totals come in pieces of 128). Repeated rows are scanned alike;
+    other columns are left out, whatever their names. An empty table gives an empty one.
     The entropy kind adds to the known shapes and never takes one away; allow-lists hold for it alone.
     """
     rows = common.pick(docs, id=id_col, text=text_col)
@@ -123,11 +143,10 @@ def joined(found: Column, base_only: bool = False) -> Column:
 
 
 def redact(text: Column, found: Column, mask: str = "[secret]") -> Column:
-    """The text with every span replaced by ``mask``; overlapping spans are merged."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span replaced by ``mask``; overlapping spans are merged. Null stays null."""
 
-    def step(acc, x):
-        gap = F.when(x["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def rebuilt(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda x: x["end"].cast("bigint")), lambda x, y: F.greatest(x, y), F.lit(0).cast("bigint"))
+        return let(F.split(text, ""), lambda chars: let(F.concat(F.array(F.lit(0).cast("bigint")), reach), lambda from_: F.concat(F.array_join(F.zip_with(spans, F.slice(from_, F.lit(1), F.size(spans)), lambda x, at: F.when(x["start"] >= at, F.concat(F.array_join(F.slice(chars, at.cast("int") + 1, (x["start"] - at).cast("int")), ""), F.lit(mask))).otherwise("")), ""), F.array_join(F.slice(chars, F.element_at(from_, -1).cast("int") + 1, F.size(chars)), ""))))
 
-    return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(found) > 0, let(found, rebuilt)).otherwise(text)

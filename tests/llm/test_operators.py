@@ -1,6 +1,8 @@
 """Small tests of the training-data operators: brute force, round trips, held-out rows, and odd rows."""
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -201,6 +203,20 @@ def test_secrets(spark, odd):
     assert "abcdef123" not in masked and masked.startswith("é [secret]")
 
 
+def test_secrets_take_linear_time(spark):
+    rng = random.Random(8)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz0123456789+/", k=1_000_000))  # no x: runs with xxxx are allowed
+    many = "".join(f"é token=abcdef{i}, AKIA{i:016d}" for i in range(100_000))
+    texts = [run, many, "a-" * 300_000 + "b", "token" + " " * 300_000, "0" * 300_000]
+    began = time.time()
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    assert time.time() - began < 90
+    found = {r["id"]: [(x["start"], x["kind"], x["end"]) for x in r["found"]] for r in rows}
+    base = [(m.start(), k, m.end()) for k, p in enumerate((r"token=[A-Za-z0-9+/_.=-]+", "AKIA[A-Z0-9]+")) for m in re.finditer(p, many)]
+    assert found[0][-1] == (0, 3, len(run)) and [x for x in found[1] if x[1] < 2] == sorted(base) and not found[2] + found[3]
+    assert found[4] == [(0, 2, 300_000)]
+
+
 def test_mixing(spark, odd):
     def slow(sizes, weights, epochs=3):
         target, open_, left = {}, dict(weights), float(sum(sizes.values()))
