@@ -115,17 +115,18 @@ def mixing_sql(epochs: int = 3, seed: int = 17, bins: int = mixing.BINS, rounds:
     steps, gone = [], "false"
     for r in range(rounds):
         steps.append(f"""
-n{r} AS (SELECT l.source, l.id, l.size * l.sign AS words, l.sign, row_number() OVER (PARTITION BY l.source ORDER BY abs(l.sign * l.size - m.missing), l.draw, l.id, l.size, l.sign) AS k
+n{r} AS (SELECT l.source, l.draw, l.size, l.size * l.sign AS words, l.sign, row_number() OVER (PARTITION BY l.source ORDER BY abs(l.sign * l.size - m.missing), l.draw, l.size, l.sign) AS k
   FROM open_docs l JOIN m{r} m ON l.source IS NOT DISTINCT FROM m.source
   WHERE abs(l.sign * l.size - m.missing) < abs(m.missing) AND NOT ({gone})),
-b{r} AS (SELECT source, id, words, sign FROM n{r} WHERE k = 1),
+b{r} AS (SELECT source, draw, size, words, sign FROM n{r} WHERE k = 1),
 m{r + 1} AS (SELECT m.source, m.missing - coalesce(b.words, 0) AS missing FROM m{r} m LEFT JOIN b{r} b ON m.source IS NOT DISTINCT FROM b.source)""")
-        gone = gone + f" OR EXISTS (SELECT 1 FROM b{r} b WHERE b.source IS NOT DISTINCT FROM l.source AND b.id IS NOT DISTINCT FROM l.id)"
-    added = " UNION ALL ".join(f"SELECT source, id, sign FROM b{r}" for r in range(rounds))
+        gone = gone + f" OR EXISTS (SELECT 1 FROM b{r} b WHERE b.source IS NOT DISTINCT FROM l.source AND b.draw = l.draw AND b.size = l.size)"
+    added = "".join(f" UNION ALL SELECT source, draw, size, CASE WHEN sign < 0 THEN 1 ELSE 0 END, CASE WHEN sign < 0 THEN 4611686018427387904 ELSE 1 END FROM b{r}" for r in range(rounds))
+    by_default = "(g.bin <= y.last_bin OR (g.bin = y.next_bin AND (g.draw < y.full_draw OR (g.draw = y.full_draw AND g.size <= y.full_size)) IS TRUE))"
     return rf"""
 WITH f AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS draw FROM documents),
-g AS (SELECT *, length(bin(size)) AS cls, floor(draw * {bins})::INT AS bin FROM f),
+  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS draw FROM documents),
+g AS (SELECT *, length(bin(size)) AS cls, floor(draw * {bins})::INT AS bin, row_number() OVER (PARTITION BY source, draw, size) AS number FROM f),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM g GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::BIGINT AS weight, source_size * {epochs} AS cap FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM w),
@@ -135,20 +136,27 @@ c AS (SELECT min(k) AS k FROM l WHERE lw / lg <= cap / weight),
 t AS (SELECT l.source, l.source_size, CASE WHEN c.k IS NULL OR l.k < c.k THEN l.cap::DOUBLE ELSE least(l.weight * e.lw / e.lg, l.cap::DOUBLE) END AS target
   FROM l CROSS JOIN c LEFT JOIN l e ON e.k = c.k),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {epochs})::BIGINT ELSE 0 END AS whole FROM t),
-v AS (SELECT *, target - whole * source_size AS part FROM u),
+v AS (SELECT *, target - whole * source_size AS share FROM u),
 b AS (SELECT source, cls, bin, sum(size)::BIGINT AS words FROM g GROUP BY source, cls, bin),
 x AS (SELECT *, sum(words) OVER (PARTITION BY source, cls ORDER BY bin) AS running, sum(words) OVER (PARTITION BY source, cls) AS class_words FROM b),
-y AS (SELECT x.source, x.cls, v.source_size, v.target, v.whole, v.part, coalesce(max(bin) FILTER (running <= part * class_words / greatest(v.source_size, 1)), -1) AS last_bin,
-  coalesce(max(running) FILTER (running <= part * class_words / greatest(v.source_size, 1)), 0) AS got
-  FROM x JOIN v ON x.source IS NOT DISTINCT FROM v.source GROUP BY ALL),
-open_docs AS (SELECT * FROM (SELECT g.source, g.id, g.size, g.draw, y.whole, CASE WHEN g.bin <= y.last_bin THEN -1 ELSE 1 END AS sign FROM g JOIN y ON g.source IS NOT DISTINCT FROM y.source AND g.cls = y.cls)
-  WHERE (sign < 0 OR whole < {epochs}) AND size > 0),
-m0 AS (SELECT source, any_value(part) - sum(got) AS missing FROM y GROUP BY source),{",".join(steps)},
-added AS ({added})
+z AS (SELECT x.*, v.source_size, v.target, v.whole, v.share, v.share * x.class_words / greatest(v.source_size, 1) AS room FROM x JOIN v ON x.source IS NOT DISTINCT FROM v.source),
+y0 AS (SELECT source, cls, source_size, target, whole, share, room, coalesce(max(bin) FILTER (running <= room), -1) AS last_bin, min(bin) FILTER (running > room) AS next_bin,
+  coalesce(max(running) FILTER (running <= room), 0) AS got FROM z GROUP BY ALL),
+e0 AS (SELECT y.source, y.cls, g.draw, g.size, count(*) AS n, y.room - y.got AS left_room FROM g JOIN y0 y ON g.source IS NOT DISTINCT FROM y.source AND g.cls = y.cls AND g.bin = y.next_bin GROUP BY y.source, y.cls, g.draw, g.size, y.room - y.got),
+e1 AS (SELECT *, sum(n * size) OVER (PARTITION BY source, cls ORDER BY draw, size) AS upto FROM e0),
+e2 AS (SELECT source, cls, max(row(draw, size)) FILTER (upto <= left_room) AS full_group, min(row(draw, size, floor((left_room - upto + n * size) / size))) FILTER (upto > left_room) AS part_group,
+  coalesce(max(upto) FILTER (upto <= left_room), 0) AS more FROM e1 GROUP BY source, cls),
+y AS (SELECT y0.*, e2.full_group[1] AS full_draw, e2.full_group[2] AS full_size, e2.part_group[1] AS part_draw, e2.part_group[2] AS part_size, e2.part_group[3]::BIGINT AS k,
+  got + coalesce(more, 0) + coalesce(e2.part_group[3] * e2.part_group[2], 0) AS have FROM y0 LEFT JOIN e2 ON y0.source IS NOT DISTINCT FROM e2.source AND y0.cls = e2.cls),
+open_docs AS (SELECT * FROM (SELECT g.source, g.size, g.draw, y.whole, CASE WHEN {by_default} THEN -1 ELSE 1 END AS sign, coalesce(g.draw = y.part_draw AND g.size = y.part_size, false) AS in_part
+    FROM g JOIN y ON g.source IS NOT DISTINCT FROM y.source AND g.cls = y.cls)
+  WHERE (sign < 0 OR whole < {epochs}) AND size > 0 AND NOT in_part),
+m0 AS (SELECT source, any_value(share) - sum(have) AS missing FROM y GROUP BY source),{",".join(steps)},
+special(source, draw, size, low, high) AS (SELECT source, part_draw, part_size, 0, k FROM y WHERE k > 0{added})
 SELECT g.id AS doc_id, g.size, y.source_size, y.target,
-  (greatest(0, least(y.whole + CASE WHEN g.bin <= y.last_bin THEN 1 ELSE 0 END + coalesce(a.sign, 0), {epochs})) * g.size)::BIGINT AS taken
+  (least(y.whole + (CASE WHEN a.low IS NULL THEN {by_default} ELSE g.number > a.low AND g.number <= a.high END)::INT, {epochs}) * g.size)::BIGINT AS taken
 FROM g JOIN y ON g.source IS NOT DISTINCT FROM y.source AND g.cls = y.cls
-LEFT JOIN added a ON a.source IS NOT DISTINCT FROM g.source AND a.id IS NOT DISTINCT FROM g.id"""
+LEFT JOIN special a ON a.source IS NOT DISTINCT FROM g.source AND a.draw = g.draw AND a.size = g.size"""
 
 
 def oracle_sql() -> dict[str, str]:

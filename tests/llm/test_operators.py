@@ -251,6 +251,30 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd).columns == odd.columns
 
 
+def test_mixing_of_null_repeated_and_equal_rows(spark):
+    import duckdb
+
+    from marlowe.llm import queries
+
+    rng = random.Random(9)
+    body = lambda: "w " * rng.randint(1, 60)
+    rows = [(None, f"{i} {body()}", "a") for i in range(1000)] + [(i // 100, f"{i} {body()}", "b") for i in range(2000)] + [(5, "one two three", "c")] * 900 + [(i // 100, body() if i % 100 == 0 else "x " * 30, "d") for i in range(2000)] + [(None, None, None)] * 3 + [(7, "z " * 500, "e")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    out = mixing.plan_mix(df).collect()
+    for s in "abcde":
+        mine = [r for r in out if r["source"] == s]
+        got, want = sum(r["copies"] * r["size"] for r in mine), mine[0]["target"]
+        assert abs(got - want) <= max(0.01 * want, max(r["size"] for r in mine)), (s, got, want)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    theirs = con.execute(queries.mixing_sql()).fetchall()
+    mine = [(r["id"], r["size"], r["source_size"], r["target"], r["copies"] * r["size"]) for r in out]
+    assert sorted(map(str, theirs)) == sorted(map(str, mine))
+    assert sorted(map(str, mixing.plan_mix(df.repartition(9)).collect())) == sorted(map(str, out))
+    wide = df.selectExpr("*", "1 AS size", "2 AS draw")
+    assert mixing.mix(wide).columns == wide.columns and mixing.mix(wide).count() == sum(r["copies"] for r in out)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
