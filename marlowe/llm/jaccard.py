@@ -1,5 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exact at any threshold.
+"""What SimHash groups need to be exact in the Jaccard similarity of word shingles: a second source of candidates, and verification.
 
+A similarity of 0.8 changes some ten of 64 bits, more than any pigeonhole can look for at the documents' number. So the
+fingerprints' links are candidates only, and a prefix filter, which misses no pair at any threshold, gives the others.
 Two sets of similarity t at least share a shingle among the first n - ceil(t n) + 1 of each, in any order that all sets
 use (prefix filter). Shingles that are common in a sample come last, so that a line which many documents hold links
 few of them; the sample moves work only, never results. Documents that share such a shingle, and whose sizes allow t,
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlowe.llm import common
-from marlowe.llm.simhash import components, shingle_hashes
+from marlowe.llm.simhash import components, majority, near_links, shingle_hashes
 
 #: Numerator and denominator of the least similarity.
 LEAST = (4, 5)
@@ -60,18 +62,19 @@ def prefix(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray, least: t
 
 
 def signatures(texts: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """doc_id, mark, sid, size and prefix (its hashes' bytes) for each row of doc_id, text, mark."""
+    """doc_id, mark, sid, fp, size and prefix (its hashes' bytes) for each row of doc_id, text, mark."""
     often, counts = common_shingles(texts, words)
     shared = texts.sparkSession.sparkContext.broadcast((often, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = shared.value
         for batch in common.slices(batches):
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            new = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array([prefix(s, often, counts, least).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *new], names=["doc_id", "mark", "sid", "size", "prefix"])
+            lists = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(h) for h in lists]
+            new = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([majority(h) for h in lists], pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array([prefix(s, often, counts, least).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *new], names=["doc_id", "mark", "sid", "fp", "size", "prefix"])
 
-    return texts.select("doc_id", "text", "mark").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, mark BIGINT, sid BIGINT, size BIGINT, prefix BINARY")
+    return texts.select("doc_id", "text", "mark").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, mark BIGINT, sid BIGINT, fp BIGINT, size BIGINT, prefix BINARY")
 
 
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,17 +158,23 @@ def verify(words: int, least: tuple[int, int]):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: tuple[int, int] = LEAST, block: int = 1_000_000, most_broadcast: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 3, least: tuple[int, int] = LEAST, block: int = 1_000_000, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, mark and root for every row: rows share a root if links of similarity ``least`` connect them.
 
     mark is a hash of the text. Texts of fewer words are one shingle; null texts and those without a word are one group.
-    Candidate groups of over ``block`` shingles are split by a hash, each pair of parts being a group of its own.
+    Candidates come from fingerprints at most ``max_bits`` apart and from the prefix filter. Groups of over ``block`` shingles are split by a hash, each pair of parts being a group of its own.
     """
     texts = common.pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
     rows = common.cut(signatures(texts, words, least))
     keyed = rows.where("size > 0").select("sid", "size", "prefix").mapInArrow(spread, "shingle BIGINT, size BIGINT, sid BIGINT")
     dealt = keyed.repartition("shingle").sortWithinPartitions("shingle", "size", "sid")
-    close = components(dealt.mapInArrow(stars(least), "a BIGINT, b BIGINT").distinct())
+    marked = common.cut(rows.where("size > 0").groupBy("fp").agg(F.min("sid").alias("sid")))
+    alike = near_links(marked.select("fp"), max_bits)
+    firsts = marked.select(F.col("fp").alias("f"), F.col("sid").alias("s"))
+    bits = alike.join(firsts, F.col("a") == F.col("f")).select("b", F.col("s").alias("a2")).join(firsts, F.col("b") == F.col("f")).select(F.col("a2").alias("a"), F.col("s").alias("b"))
+    same = rows.where("size > 0").select("fp", "sid").distinct().join(marked.select("fp", F.col("sid").alias("a")), "fp").where("a <> sid").select("a", F.col("sid").alias("b"))
+    prefixes = dealt.mapInArrow(stars(least), "a BIGINT, b BIGINT")
+    close = components(prefixes.unionByName(bits).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     one = rows.where("size > 0").groupBy("sid").agg(F.min("mark").alias("mark"), F.first("size").alias("size"))
     wanted = common.cut(one.join(close, F.col("sid") == F.col("node")).select("mark", "sid", "size", "root"))
     blocks = wanted.groupBy("root").agg(F.ceil(F.sum("size") / block).alias("blocks"))
@@ -178,26 +187,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = components(sorted_groups.mapInArrow(verify(words, least), "a BIGINT, b BIGINT").distinct()).withColumnRenamed("node", "sid")
     named = F.broadcast(roots) if roots.count() <= most_broadcast else roots
     return rows.select("doc_id", "mark", "sid").join(named, "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, one of each, with their own columns.
-
-    That is the row of the least id, of the least mark if the id stands on several texts; null ids come last. Rows go by
-    id and text, so an id whose other text is a copy stays with this one. What goes is broadcast if it has
-    ``most_broadcast`` rows at most.
-    """
-    found = common.cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **options))
-    kinds = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
-    first = kinds.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
-    judged = common.cut(kinds.join(first, "root").select("doc_id", "mark", "n", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))).alias("stays")))
-    gone = judged.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
-    twice = judged.where("stays AND n > 1").limit(1).count() > 0
-    names = docs.columns
-    at = {c: f"_{next(i for same in (lambda x: x == c, lambda x: x.lower() == c.lower()) for i, x in enumerate(names) if same(x))}" for c in (id_col, text_col)}  # noqa: B023
-    plain = docs.toDF(*[f"_{i}" for i in range(len(names))]).withColumn("mark", F.xxhash64(at[text_col]))
-    gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
-    left = plain.join(gone, F.col(at[id_col]).eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
-    if twice:
-        left = left.dropDuplicates([at[id_col], "mark"])
-    return left.drop("mark").toDF(*names)

@@ -42,8 +42,11 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """Bit b is 1 if over half of the hashes have it; as a signed 64-bit number. 0 without words."""
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit b is 1 if over half of the hashes have it; as a signed 64-bit number. 0 without hashes."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, h.size, 255):  # 255 bytes can't overflow
         lanes = np.unpackbits(h[i : i + 255].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
@@ -260,36 +263,57 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, block: int = 1024) -> DataFrame:
-    """doc_id, fp, component_id for every row: the least id that links of at most ``max_bits`` bits reach, itself included.
-
-    Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay and share their component;
-    null ids get their component's least id, or null if it has none. Other columns are left out. Copies share a
-    fingerprint and never meet as pairs: links are between distinct fingerprints only.
-    """
-    rows = fingerprints(common.pick(docs, doc_id=id_col, text=text_col), words=words).select("doc_id", "fp")
-    rows = common.cut(rows)
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, block: int = 1024) -> DataFrame:
+    """doc_id, mark (a hash of the text), fp, root and component_id for every row."""
+    texts = common.pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
+    rows = common.cut(fingerprints(texts, words=words).select("doc_id", "mark", "fp"))
     distinct = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(distinct, max_bits, block)).withColumnRenamed("node", "fp")
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(first, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = known.join(first, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", most_broadcast: int = 1_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's least, with their own columns: one document of each group.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, block: int = 1024) -> DataFrame:
+    """doc_id, fp, component_id for every row: the least id that links of at most ``max_bits`` bits reach, itself included.
 
-    Of rows that repeat an id one stays; rows without an id stay all, as nothing tells them apart. The ids that go are
-    broadcast if there are ``most_broadcast`` (some 8 MB) at most, else joined by a shuffle.
+    Null and empty texts have fingerprint 0 and link like any other; texts of any length count whole. Repeated rows stay
+    and share their component; null ids get their component's least id, or null if it has none. Other columns are left
+    out, whatever their names; an empty table gives an empty one. Copies share a fingerprint and never meet as pairs:
+    links are between distinct fingerprints only.
     """
-    found = common.cut(near_duplicates(docs, id_col=id_col, **options).select("doc_id", "component_id"))
-    gone = common.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    twice = found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
-    at = ([i for i, n in enumerate(docs.columns) if n == id_col] or [i for i, n in enumerate(docs.columns) if n.lower() == id_col.lower()])[0]
-    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    return linked(docs, id_col=id_col, text_col=text_col, words=words, max_bits=max_bits, block=block).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 3, similarity: tuple[int, int] | None = (4, 5), most_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, one of each, with their own columns.
+
+    That is the row of the least id, of the least text hash if the id stands on several texts; null ids come last. Rows
+    go by id and text, so an id whose other text is a copy stays with this one.
+
+    Without ``similarity`` (a numerator and a denominator) groups are what links of at most ``max_bits`` bits connect.
+    With it, fingerprints only propose: their links and those of ``jaccard``'s prefix filter, which misses no pair, are
+    verified on the sets of shingles, and groups are what pairs of at least that Jaccard similarity connect. What goes is
+    broadcast if it has ``most_broadcast`` rows (some 16 MB) at most, else joined by a shuffle.
+    """
+    from marlowe.llm import jaccard  # it builds on this module
+
+    if similarity:
+        found = jaccard.near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, max_bits=max_bits, least=similarity, most_broadcast=most_broadcast, **options)
+    else:
+        found = linked(docs, id_col=id_col, text_col=text_col, words=words, max_bits=max_bits, **options).select("doc_id", "mark", "root")
+    found = common.cut(found)
+    kinds = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = kinds.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.struct(F.col("mark").isNull(), "mark").alias("mark"))).alias("first"))
+    judged = common.cut(kinds.join(first, "root").select("doc_id", "mark", "n", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("first.mark.mark").eqNullSafe(F.col("mark"))).alias("stays")))
+    gone = judged.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    twice = judged.where("stays AND n > 1").limit(1).count() > 0
+    names = docs.columns
+    at = {c: f"_{next(i for same in (lambda x: x == c, lambda x: x.lower() == c.lower()) for i, x in enumerate(names) if same(x))}" for c in (id_col, text_col)}  # noqa: B023
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))]).withColumn("mark", F.xxhash64(at[text_col]))
     gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
-    left = plain.join(gone, F.col(f"_{at}") == F.col("gone_id"), "left_anti")
+    left = plain.join(gone, F.col(at[id_col]).eqNullSafe(F.col("gone_id")) & F.col("mark").eqNullSafe(F.col("gone_mark")), "left_anti")
     if twice:
-        left = left.where(F.col(f"_{at}").isNotNull()).dropDuplicates([f"_{at}"]).unionByName(left.where(F.col(f"_{at}").isNull()))
-    return left.toDF(*docs.columns)
+        left = left.dropDuplicates([at[id_col], "mark"])
+    return left.drop("mark").toDF(*names)

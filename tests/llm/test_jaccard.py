@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from marlowe.llm import jaccard
+from marlowe.llm import simhash
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
@@ -51,5 +51,14 @@ def test_stage_keeps_what_brute_force_keeps(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], SCHEMA)
     assert 10 < len(want) < len(texts) - 10
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
-    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs, block=300, most_broadcast=0).collect()) == want  # split groups, shuffled joins
-    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs, block=300, most_broadcast=0).collect()) == want  # split groups, shuffled joins
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_rows_go_by_id_and_text(spark):
+    far = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, "one copy of a text that is here twice"), (2, "one copy of a text that is here twice"), (2, far), (None, "nobody knows this one's id at all"), (None, "nobody knows this one's id at all"), (3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    for similarity in ((4, 5), None):
+        got = {tuple(r) for r in simhash.one_of_each(docs, similarity=similarity).collect()}
+        assert got == {(1, rows[0][1]), (2, far), (None, rows[3][1]), (3, None)}, similarity

@@ -87,6 +87,7 @@ def test_simhash_is_exact(spark, odd):
     assert len(out) == 7 and {r["component_id"] for r in out if r["doc_id"] in (1, 2)} == {1}
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(odd).collect()) == [0, 1, 3, 4, 5]
+    assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(odd, words=3, similarity=None).collect()) == [0, 1, 3, 4, 5]
 
 
 def test_pigeonhole_thresholds_sum():
