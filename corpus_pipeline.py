@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlowe.llm import common, decontam, jaccard, langid, mixing, tokenfile
+from marlowe.llm import common, decontam, langid, mixing, simhash, tokenfile
 
 #: No stage but the mix can be told in SQL.
 ORACLE_SQL = None
@@ -22,8 +22,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; links are a Jaccard similarity of 0.8 at least on five-word shingles."""
-    return jaccard.one_of_each(docs)
+    """Keeps the document with the least id of each group; links are a Jaccard similarity of 0.8 at least on five-word shingles.
+
+    Null and empty texts are one group, repeated rows another each; null ids come last in a group. Empty tables stay empty.
+    """
+    return simhash.one_of_each(docs, words=5, similarity=(4, 5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
