@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +35,17 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: ``spark.checkpoint.dir``, or a new local one where unset."""
+    """The folder that driver and executors share, as a URI: ``spark.checkpoint.dir``, or where unset the context's own.
+
+    Where there is neither, a local master gets a new local folder; on a cluster that is a ValueError, as each machine would write to its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="marlowe-")
             spark.sparkContext.setCheckpointDir(found)
@@ -52,6 +58,24 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that ``fresh_dir`` named, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing_checkpoints(spark: SparkSession):
+    """Within it checkpoints go to a folder of their own, which is deleted at the end: what they led to must be written by then."""
+    outer, folder = shared_dir(spark), fresh_dir(spark, "checkpoints")
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setCheckpointDir(outer)
+        remove(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and goes on from there."""
     shared_dir(df.sparkSession)
@@ -97,16 +121,17 @@ def seeded(column: Column, seed: int, digits: int = 13) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint").cast("double") / F.lit(float(16**digits))
 
 
-def bounded_sample(labelled: DataFrame, key: str, label: str, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows in all, the labels as even as their counts allow; which rows, the key's hash decides.
+def bounded_sample(labelled: DataFrame, key: str, label: str, most: int, seed: int, made: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """``most`` rows at most, the labels as even as their counts allow; which rows, the key's hash decides.
 
-    The expected number is at most ``most``; ``limit`` makes it a bound.
+    Each label, of any number of them, is thinned to its even share, about 0.95 of ``most`` in all; should the thinned
+    rows be more, those with the least hashes stay, so that reruns agree. ``made`` changes the thinned rows before they
+    are ranked, to what is small enough for the driver; it keeps the columns _draw and ``key``.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().limit(1000).collect()}
-    if not counts:
-        return labelled.limit(0)
-    each = most / len(counts) * 0.95
-    rate = F.lit(1.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(rate)
-    return labelled.where(seeded(F.col(key), seed) < rate).limit(most)
+    counts = labelled.groupBy(F.col(label).alias("_label")).count()
+    kinds = counts.count()
+    if not kinds:
+        return made(labelled.withColumn("_draw", F.lit(0.0))).drop("_draw").limit(0)
+    rate = F.lit(most / kinds * 0.95) / F.col("count")
+    met = labelled.withColumn("_draw", seeded(F.col(key), seed)).join(counts, F.col(label) == F.col("_label"))
+    return made(met.where(F.col("_draw") < rate).select(*labelled.columns, "_draw")).orderBy("_draw", key).limit(most).drop("_draw")

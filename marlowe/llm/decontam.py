@@ -8,6 +8,7 @@ half, w the largest edit budget; bands with too few are dropped, the others veri
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from marlowe.llm import common
 
 GOLDEN = np.uint32(0x9E3779B1)
 TABLE_BITS = 22
+#: Pairs of equal q-grams that are counted at a time; one q-gram's may be more.
+PAIRS = 1 << 20
 FOUND = "doc_id BIGINT, item_id BIGINT, start BIGINT, end BIGINT, edits INT"
 
 
@@ -85,18 +88,25 @@ class Items:
         k[k == self.gram.size] = 0
         same = self.gram[k] == g[at]
         at, k = at[same], k[same]
-        n = self.count[k]
-        if not n.sum():
+        n, most = self.count[k], int(self.n.max())
+        if not n.size:
             return np.zeros((0, 2), np.int64)
-        end = n.cumsum()
-        row = np.repeat(self.first[k] - end + n, n) + np.arange(end[-1])
-        item, diagonal = self.item[row], np.repeat(at, n) - self.place[row] + int(self.n.max())
-        band = diagonal // self.width
-        key = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])
-        key, count = np.unique(key, return_counts=True)
-        item = key >> 40
-        key, item = key[count >= self.need[item]], item[count >= self.need[item]]
-        return np.stack([item, key - (item << 40)], axis=1)
+        cut = np.searchsorted(n.cumsum(), np.arange(PAIRS, n.sum() + PAIRS, PAIRS))  # slices of some PAIRS equal pairs
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j in zip(np.r_[0, cut[:-1] + 1], cut + 1, strict=True):
+            if not (size := n[i:j]).sum():
+                continue
+            end = size.cumsum()
+            row = np.repeat(self.first[k[i:j]] - end + size, size) + np.arange(end[-1])
+            band = (np.repeat(at[i:j], size) - self.place[row] + most) // self.width
+            new, times = np.unique(self.item[row] * (1 << 40) + band + 1, return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, times])).astype(np.int64)
+        keys, back = np.unique(np.concatenate([keys, keys - 1]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, counts])).astype(np.int64)
+        item = keys >> 40
+        enough = counts >= self.need[item]
+        return np.stack([item[enough], keys[enough] - (item[enough] << 40) - 1], axis=1)
 
     def exact(self, x: np.ndarray, found: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
         """Unedited passages, which need no alignment, and the bands that hold none. A band's places of an item overlap."""
@@ -128,9 +138,12 @@ class Items:
         out += whole
         if len(found):
             out += self.verify(x, found)
-        best = []
+        best, taken = [], {}
         for hit in sorted(out, key=lambda h: (h[3], h[1], h[2])):
-            if not any(hit[0] == b[0] and hit[1] < b[2] and b[1] < hit[2] for b in best):
+            places = taken.setdefault(hit[0], [])  # ascending and apart
+            i = bisect.bisect(places, (hit[1], hit[2]))
+            if (i == 0 or places[i - 1][1] <= hit[1]) and (i == len(places) or hit[2] <= places[i][0]):
+                places.insert(i, (hit[1], hit[2]))
                 best.append(hit)
         return sorted(best, key=lambda h: (h[0], h[1]))
 
@@ -187,52 +200,85 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, chars: int) -> I
         yield block
 
 
+def finder(spark, block: list[tuple[int, str]], q: int, share: float):
+    """The block's broadcast, and a function that gives its items, made once in a Python worker's task."""
+    held, kept = spark.sparkContext.broadcast([(i, normal(t)) for i, t in block]), {}
+
+    def items() -> Items:
+        if "items" not in kept:
+            kept["items"] = Items([i for i, _ in held.value], [t for _, t in held.value], q, share)
+        return kept["items"]
+
+    return held, items
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 10, share: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the passages of benchmark items in documents, places in code points.
 
     An item of n characters may have min(share n, n/q - 1) edits, at least 0; edits are single characters inserted,
     removed or changed. Items shorter than q must occur exactly, empty and null ones never do. Null and empty texts
-    have no passages. Repeated rows give repeated results; a document gives one row for each item and place, and
-    of overlapping places of an item the one with the fewest edits, then the first. Other columns are left out.
+    have no passages; texts of any length are searched whole, their equal q-grams counted in slices. Repeated rows give
+    repeated results; a document gives one row for each item and place, and of overlapping places of an item the one
+    with the fewest edits, then the first. Other columns are left out. Empty tables give an empty one.
 
-    The benchmark goes to the executors in blocks of ``block_chars`` characters, some 40 bytes each; every block
-    is a pass over the documents, so a benchmark of any size stays in memory.
+    The benchmark goes to the executors in blocks of ``block_chars`` characters, some 40 bytes each. If there are several,
+    each is a pass over the documents whose passages are written to the shared folder before the next block is sent, so
+    that one block is in memory at a time.
     """
-    rows, out = common.pick(docs, doc_id=id_col, text=text_col), None
-    for block in blocks_of(benchmark, item_col, item_text_col, block_chars):
-        held = docs.sparkSession.sparkContext.broadcast([(i, normal(t)) for i, t in block])
-        kept: dict = {}
-
-        def run(batches, held=held, kept=kept):
-            if "items" not in kept:
-                kept["items"] = Items([i for i, _ in held.value], [t for _, t in held.value], q, share)
-            items = kept["items"]
+    spark, rows = docs.sparkSession, common.pick(docs, doc_id=id_col, text=text_col)
+    rows, folder, out = rows.withColumn("doc_id", F.col("doc_id").cast("bigint")), common.fresh_dir(spark, "leaks"), None
+    blocks = blocks_of(benchmark, item_col, item_text_col, block_chars)
+    block, after = next(blocks, None), next(blocks, None)
+    several = after is not None
+    while block:
+        held, items = finder(spark, block, q, share)
+
+        def run(batches, items=items):
             for batch in common.slices(batches):
-                got = [(d, items.ids[i], a, b, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, a, b, e in items.find(normal(t))]
+                got = [(d, items().ids[i], a, b, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, a, b, e in items().find(normal(t))]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], kinds[c]) for c in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        found = rows.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, FOUND)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+        out = rows.mapInArrow(run, FOUND)
+        if several:
+            out.write.mode("append").parquet(folder)
+            held.destroy()
+        block, after = after, next(blocks, None)
+    return spark.createDataFrame([], FOUND) if out is None else spark.read.schema(FOUND).parquet(folder) if several else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 10, share: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` without any passage of the benchmark, as ``leaks`` finds them, with their own columns.
 
-    Each row is judged by its own text, so ids don't matter and nothing is shuffled; null and empty texts stay.
+    Each row is judged by its own text, so ids don't matter and nothing is shuffled; null and empty texts stay, repeated
+    rows stay or go together. A benchmark of one block is one pass. For one of several the texts' digests with passages
+    are gathered block by block, as ``leaks`` does, and their rows left out by a join.
     """
-    at = ([i for i, n in enumerate(docs.columns) if n == text_col] or [i for i, n in enumerate(docs.columns) if n.lower() == text_col.lower()])[0]
-    names, plain = docs.columns, docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    for block in blocks_of(benchmark, item_col, item_text_col, block_chars):
-        held = docs.sparkSession.sparkContext.broadcast([(i, normal(t)) for i, t in block])
-        kept: dict = {}
-
-        def run(batches, held=held, kept=kept):
-            if "items" not in kept:
-                kept["items"] = Items([i for i, _ in held.value], [t for _, t in held.value], q, share)
+    spark, names, plain = docs.sparkSession, docs.columns, docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    at = ([i for i, n in enumerate(names) if n == text_col] or [i for i, n in enumerate(names) if n.lower() == text_col.lower()])[0]
+    blocks = blocks_of(benchmark, item_col, item_text_col, block_chars)
+    block, after = next(blocks, None), next(blocks, None)
+    if block and not after:
+        _, items = finder(spark, block, q, share)
+
+        def run(batches):
+            for batch in common.slices(batches):
+                yield batch.filter(pa.array([not t or not items().find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return plain.mapInArrow(run, plain.schema).toDF(*names)
+    folder, texts = common.fresh_dir(spark, "leaking"), plain.select(F.sha2(f"_{at}", 256).alias("digest"), F.col(f"_{at}").alias("text"))
+    while block:
+        held, items = finder(spark, block, q, share)
+
+        def marked(batches, items=items):
             for batch in common.slices(batches):
-                yield batch.filter(pa.array([not t or not kept["items"].find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+                hit = pa.array([bool(t) and bool(items().find(normal(t))) for t in batch.column(1).to_pylist()], pa.bool_())
+                yield batch.select([0]).filter(hit)
 
-        plain = plain.mapInArrow(run, plain.schema)
+        texts.mapInArrow(marked, "digest STRING").write.mode("append").parquet(folder)
+        held.destroy()
+        block, after = after, next(blocks, None)
+        if not block:
+            gone = spark.read.schema("digest STRING").parquet(folder).distinct()
+            plain = plain.withColumn("digest", F.sha2(f"_{at}", 256)).join(gone, "digest", "left_anti").drop("digest")
     return plain.toDF(*names)

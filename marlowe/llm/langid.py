@@ -9,16 +9,17 @@ threshold are calibrated on labelled rows that the descent has not seen.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlowe.llm import common
 
+BITS = 16
 UNKNOWN = "und"
 MULTIPLIER = np.uint32(0x9E3779B1)
 CHUNK = 1 << 19
@@ -52,6 +53,9 @@ class Model:
             total += self.table[h[i : i + CHUNK]].sum(axis=0, dtype=np.float64)
         return total / max(1, h.size) + self.bias
 
+    def of_bag(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return n @ self.table[at].astype(np.float64) / max(1, n.sum()) + self.bias
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
@@ -65,25 +69,35 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, epochs: int = 5, rate: float = 0.5, rejected: float = 0.001, seed: int = 0) -> Model | None:
-    """Trains on four fifths of the rows and calibrates on the rest; None without rows that have letters.
+def bag(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's subwords and how many fall into each: 2**bits of them at most, however long the text."""
+    at, n = np.unique(subwords(text, bits), return_counts=True)
+    return at.astype(np.int32), n.astype(np.int32)
+
+
+def fit(texts: list[str], langs: list[str], **options) -> Model | None:
+    """``fit_bags`` on whole texts."""
+    rows = [(*bag(t), y) for t, y in zip(texts, langs, strict=True) if t and y is not None and any(map(str.isalpha, t))]
+    return fit_bags(rows, **options)
+
 
-    rejected: the share of calibration rows that may fall below the threshold, which is 0.5 at most.
+def fit_bags(rows: list[tuple[np.ndarray, np.ndarray, str]], *, bits: int = BITS, dim: int = 16, epochs: int = 5, rate: float = 0.5, rejected: float = 0.001, seed: int = 0) -> Model | None:
+    """Trains on four fifths of the rows (buckets, counts, language) and calibrates on the others; None without rows.
+
+    rejected: the share of calibration rows that may fall below the threshold, which is 0.5 at most. A single row is
+    both. The model has 2**bits numbers for each language, 256 KB.
     """
-    rows = [(t, y) for t, y in zip(texts, langs, strict=True) if t and y is not None and any(map(str.isalpha, t))]
     if not rows:
         return None
-    names = sorted({y for _, y in rows})
-    bits = max(8, min(bits, int(math.log2(2**24 / len(names)))))
+    names = sorted({y for _, _, y in rows})
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    kept = rows[: len(rows) // 5] if len(rows) >= 50 else rows
-    learn = rows[len(rows) // 5 :] if len(rows) >= 50 else rows
+    held = -(-len(rows) // 5)
+    kept, learn = rows[:held], rows[held:] or rows
     emb = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(names)), np.float32), np.zeros(len(names), np.float32)
     bags = []
-    for t, y in learn:
-        at, n = np.unique(subwords(t, bits), return_counts=True)
+    for at, n, y in learn:
         bags.append((at, (n / n.sum()).astype(np.float32), names.index(y)))
     step, steps = 0, epochs * len(bags)
     for _ in range(epochs):
@@ -99,7 +113,7 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
             bias -= lr * 0.1 * g
             emb[at] -= lr * np.outer(np.minimum(share * at.size, 8.0), back)
     model = Model(names, emb @ out, bias, bits, 1.0, 0.0)
-    logits, truth = np.array([model.logits(t) for t, _ in kept]), np.array([names.index(y) for _, y in kept])
+    logits, truth = np.array([model.of_bag(at, n) for at, n, _ in kept]), np.array([names.index(y) for _, _, y in kept])
     grid = np.geomspace(0.05, 20, 60)
     # smoothed targets, else rows that are all right would call for a temperature of zero
     slack = 1 / (np.bincount(truth, minlength=len(names)) + 2)[truth]
@@ -115,13 +129,26 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: F.Column | None = None, sample_rows: int = 4000, seed: int = 0) -> Model | None:
     """Fits on at most ``sample_rows`` labelled rows, spread over the languages by the key's hash.
 
-    ``learn`` restricts them further; it sees the columns id, text and lang.
+    ``learn`` restricts them further; it sees the columns id, text and lang. The driver gets the rows' buckets and
+    counts, not their texts: 2**16 of either for a row at most. Null ids, texts and languages, texts without a letter and
+    an empty table teach nothing; repeated rows count each; other columns are left out.
     """
     rows = common.pick(docs, id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     rows = rows if learn is None else rows.where(learn)
-    got = common.bounded_sample(rows, "id", "lang", sample_rows, seed).select("id", "text", "lang").collect()
-    got.sort(key=lambda r: str(r[0]))
-    return fit([r[1] for r in got], [r[2] for r in got], seed=seed)
+
+    def bags(batches):
+        for batch in common.slices(batches):
+            texts = batch.column(0).to_pylist()
+            made = [bag(t) if any(map(str.isalpha, t)) else None for t in texts]
+            parts = [pa.array([m and m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3)), *parts], names=["id", "lang", "_draw", "at", "n"])
+
+    def made(some: DataFrame) -> DataFrame:
+        return some.select("text", F.col("id").cast("string").alias("id"), "lang", "_draw").mapInArrow(bags, f"id STRING, lang {rows.schema['lang'].dataType.simpleString()}, _draw DOUBLE, at BINARY, n BINARY")
+
+    got = common.bounded_sample(rows, "id", "lang", sample_rows, seed, made).collect()
+    got.sort(key=lambda r: (r["id"], r["at"] or b"", r["n"] or b""))
+    return fit_bags([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), r["lang"]) for r in got if r["at"]], seed=seed)
 
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
@@ -129,10 +156,10 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
 
     A null or empty text, one without any letter, and any text when there is no model get ``und``, 0.0 and false.
     A score below the model's threshold keeps its language but isn't accepted. Each row stands alone, so repeated
-    rows and ties between rows don't matter; of equal probabilities the first language in sorted order wins.
+    rows and ties between rows don't matter, and texts of any length are read whole; of equal probabilities the first language in sorted order wins.
     Other columns pass through; an input that has the three names already is a ValueError.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 64 MB at most, whatever the corpus
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 256 KB a language, whatever the corpus
 
     def rows(texts):
         m = held.value

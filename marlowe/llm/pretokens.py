@@ -63,6 +63,7 @@ class Pretokens:
             raise ValueError("this splitter follows tokenizer files with the word-end pattern only")
         self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if self.added else None
+        self.mark = os.path.commonprefix(list(self.added))  # a text without what all added tokens begin with has none
         self.old: dict[str, int] = {}
         self.young = Memo(self.make)
         self.start, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
@@ -104,7 +105,7 @@ class Pretokens:
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; an added token's string comes as itself."""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or (self.mark and self.mark not in text):
             return self.plain(text)
         return [x for part in self.cut.split(text) if part for x in ([part] if part in self.added else self.plain(part))]
 

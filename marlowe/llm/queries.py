@@ -56,8 +56,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    stored = media.text_media(docs).drop("text")
-    return media.media_digest(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    digested, folder = media.media_digest(media.text_media(docs).drop("text")), common.fresh_dir(spark, "tiles")
+    media.write_tiles(digested, folder).write.parquet(f"{folder}/index")
+    tiled = media.read_tiles(spark.read.parquet(f"{folder}/index"), folder)
+    feature = F.concat("dhash", F.lit(":"), F.substring(F.sha2("tile", 256), 1, 16))
+    return tiled.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "tile_file", "tile_at")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

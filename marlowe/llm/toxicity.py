@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,11 +61,15 @@ class Model:
         return full
 
 
-def fit(texts: list[str | None], labels: list[int], *, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5, epochs: int = 6, seed: int = 0) -> Model:
-    """FTRL-proximal; without rows a model that gives 0.5 to all."""
+def fit(texts: list[str | None], labels: list[int], **options) -> Model:
+    """``fit_bags`` on whole texts."""
+    return fit_bags([np.unique(features(t or "")) for t in texts], labels, **options)
+
+
+def fit_bags(bags: list[np.ndarray], labels: list[int], *, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5, epochs: int = 6, seed: int = 0) -> Model:
+    """FTRL-proximal on rows of distinct buckets; without rows a model that gives 0.5 to all."""
     z, n, b, nb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
     rng = np.random.default_rng(seed)
-    bags = [np.unique(features(t or "")) for t in texts]
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
             at, y = bags[i], labels[i]
@@ -84,22 +89,30 @@ def fit(texts: list[str | None], labels: list[int], *, alpha: float = 2.0, beta:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: F.Column | None = None, sample_rows: int = 8000, seed: int = 0) -> Model:
     """Fits on at most ``sample_rows`` labelled documents, both classes as even as their counts allow.
 
-    A document with several labels counts as toxic if one says so; null labels and ids are left out. ``learn`` sees
-    the column id.
+    A document with several labels counts as toxic if one says so; null labels and ids are left out, and so are null
+    texts. Of several texts of an id the first in order counts. ``learn`` sees the column id. The driver gets the rows'
+    buckets, not their texts: 2**18 for a row at most. Without labels or documents every score is 0.5.
     """
     want = common.pick(labels, id=id_col, label=label_col).where("id IS NOT NULL AND label IS NOT NULL")
     want = (want if learn is None else want.where(learn)).groupBy("id").agg(F.max("label").alias("label"))
     want = common.bounded_sample(want, "id", "label", sample_rows, seed)
     texts = common.pick(docs, id=id_col, text=text_col).where("text IS NOT NULL")
-    got = texts.join(F.broadcast(want), "id").groupBy("id").agg(F.min_by(F.struct("text", "label"), "text").alias("x")).select("id", "x.*").collect()  # want: sample_rows rows at most
-    got.sort(key=lambda r: str(r[0]))
-    return fit([r[1] for r in got], [int(r[2]) for r in got], seed=seed)
+    got = texts.join(F.broadcast(want), "id").groupBy("id").agg(F.min_by(F.struct("text", "label"), "text").alias("x")).select(F.col("id").cast("string").alias("id"), "x.text", F.col("x.label").cast("int").alias("label"))  # want: sample_rows rows at most
+
+    def bags(batches):
+        for batch in common.slices(batches):
+            made = [np.unique(features(t)).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["id", "label", "at"])
+
+    got = got.mapInArrow(bags, "id STRING, label INT, at BINARY").collect()
+    got.sort(key=lambda r: r["id"])
+    return fit_bags([np.frombuffer(r["at"], np.int32) for r in got], [r["label"] for r in got], seed=seed)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """Appends toxicity (0 to 1) to every row.
 
-    Null and empty texts get the bias alone. Rows stand alone, so repeats and order don't matter; other columns pass
+    Null and empty texts get the bias alone; texts of any length are read whole. An empty table stays empty. Rows stand alone, so repeats and order don't matter; other columns pass
     through, and an input that has ``toxicity`` already is a ValueError.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 weights at most, whatever the corpus
