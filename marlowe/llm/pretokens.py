@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlowe.llm import common
@@ -141,22 +142,75 @@ def shared(path: str) -> Pretokens:
     return Pretokens(path)
 
 
-def count_tokens(docs: DataFrame, *, text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
-    """Appends n_bytes (UTF-8), n_tokens and over_limit to every row, without ever building a document's ids.
+def pretoken_table(docs: DataFrame, *, text_col: str = "text", path: str | None = None, most: int = 100_000) -> DataFrame:
+    """(pretoken, docs, pieces) for each distinct pre-token of the texts: how many texts have it, into how many pieces it goes.
 
-    Each Python worker joins its documents' pre-token frequencies to a memo of distinct pre-tokens, so nothing is
-    shuffled: a global join would move every document's frequencies, more bytes than the texts themselves. The memo
-    holds two generations of 120,000 entries and outlives a task at most. Null counts as empty: 0, 0, false. Rows stand alone, repeats included.
+    Tasks send each of theirs about once (they hold ``most`` at a time), so that the shuffle moves distinct pre-tokens
+    and not texts; each is then split into pieces once in all. Null and empty texts have none.
     """
     path = path or default_path()
 
-    def rows(texts):
+    def distinct(batches):
+        tok, seen = shared(path), Counter()
+        for batch in common.slices(batches):
+            for t in batch.column(0).to_pylist():
+                if t:
+                    seen.update(set(tok.split(t)))
+                if len(seen) > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pretoken", "docs"])
+                    seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pretoken", "docs"])
+
+    def pieces(batches):
         tok = shared(path)
-        n = tok.count(texts)
-        size = [len(t.encode()) if t else 0 for t in texts]
-        return [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(tok.pieces(p)) for p in batch.column(0).to_pylist()], pa.int64())], names=["pretoken", "docs", "pieces"])
 
-    new = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
-    if clash := [c for c in docs.columns if c.lower() in dict(new)]:
+    found = common.pick(docs, text=text_col).mapInArrow(distinct, "pretoken STRING, docs BIGINT").groupBy("pretoken").agg(F.sum("docs").alias("docs"))
+    return found.mapInArrow(pieces, "pretoken STRING, docs BIGINT, pieces BIGINT")
+
+
+def count_tokens(docs: DataFrame, *, text_col: str = "text", path: str | None = None, limit: int = 2048, most_broadcast: int = 400_000) -> DataFrame:
+    """n_bytes (UTF-8), n_tokens and over_limit for every row, with all its columns but the text; no document's ids are ever built.
+
+    Each distinct pre-token is counted once, in ``pretoken_table``. The ``most_broadcast`` (some 10 MB) that most texts
+    have are sent to all workers, and joined there to each document's pre-token frequencies. If there are more, what a
+    document has of the others goes on as rows of (row, pretoken, frequency), joined to the table by a shuffle and summed by
+    row: these are rare, so that no key of that join is a hot one.
+
+    Null counts as empty: 0, 0, false. Texts of any length count whole. Rows stand alone, repeats included; an empty table
+    stays empty; clashing names are a ValueError.
+    """
+    path, new = path or default_path(), ["n_bytes", "n_tokens", "over_limit"]
+    if clash := [c for c in docs.columns if c != text_col and c.lower() in (*new, "_row", "_rest")]:
         raise ValueError(f"the input already has {clash}")
-    return common.per_text(docs, text_col, new, rows)
+    table = common.cut(pretoken_table(docs, text_col=text_col, path=path))
+    often = table.orderBy(F.col("docs").desc(), "pretoken").limit(most_broadcast).select("pretoken", "pieces").toArrow()  # most_broadcast rows at most
+    held = docs.sparkSession.sparkContext.broadcast(dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)))
+    whole = table.count() <= most_broadcast
+    where = docs.columns.index(text_col)
+    kept = [f for i, f in enumerate(docs.schema.fields) if i != where]
+    rest_type = T.ArrayType(T.StructType([T.StructField("pretoken", T.StringType()), T.StructField("n", T.LongType())]))
+    schema = T.StructType([*kept, T.StructField("_row", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("_rest", rest_type)])
+
+    def run(batches):
+        tok, known = shared(path), held.value
+        arrow_rest = pa.list_(pa.struct([("pretoken", pa.string()), ("n", pa.int64())]))
+        for batch in common.slices(batches):
+            size, count, rest = [], [], []
+            for t in batch.column(where).to_pylist():
+                bag = Counter(tok.split(t)) if t else {}
+                size.append(len(t.encode()) if t else 0)
+                count.append(sum([n * known[p] for p, n in bag.items() if p in known]))
+                rest.append([] if whole else [{"pretoken": p, "n": n} for p, n in bag.items() if p not in known])
+            columns = [c for i, c in enumerate(batch.columns) if i != where]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(rest, arrow_rest)], names=schema.names)
+
+    counted = docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, schema)
+    names = [f.name for f in kept]
+    if not whole:
+        counted = common.cut(counted)  # from here on the rows' numbers are fixed
+        rare = counted.select("_row", F.explode("_rest").alias("x")).select(F.col("_row").alias("_r"), "x.pretoken", "x.n").join(table.select("pretoken", "pieces"), "pretoken")
+        more = rare.groupBy("_r").agg(F.sum(F.col("n") * F.col("pieces")).alias("_more"))
+        counted = counted.join(more, F.col("_row") == F.col("_r"), "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("_more", F.lit(0)))
+    return counted.select(*names, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -36,7 +36,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    return pretokens.count_tokens(docs).drop("text")
+    return pretokens.count_tokens(docs)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

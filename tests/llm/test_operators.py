@@ -122,6 +122,15 @@ def test_tokens_match_the_library(spark, odd, tmp_path):
     assert [own.encode(t).tolist() for t in texts] == want
     counts = pretokens.count_tokens(odd).collect()
     assert len(counts) == 7 and {r["n_tokens"] for r in counts if r["doc_id"] in (1, 2)} == {0}
+    frame = spark.createDataFrame([*enumerate(texts), *enumerate(texts), (99, None)], "doc_id BIGINT, text STRING")
+    for most in (400_000, 5, 0):  # all pre-tokens joined in the workers, few of them, none
+        got = sorted((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in pretokens.count_tokens(frame, most_broadcast=most).collect())
+        assert got == sorted([(i, len(w), len(texts[i].encode())) for i, w in enumerate(want)] * 2 + [(99, 0, 0)])
+    assert pretokens.count_tokens(empty(spark)).count() == 0
+    table = pretokens.pretoken_table(frame, most=3).collect()
+    assert len({r["pretoken"] for r in table}) == len(table)
+    with pytest.raises(ValueError):
+        pretokens.count_tokens(frame.selectExpr("*", "1 AS N_Tokens"))
     folder = f"file://{tmp_path}/tokens"
     tokenfile.write(odd, folder, length=16, rows=4)
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read(spark, folder).collect()))
