@@ -16,7 +16,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is accepted; those without a letter or below the calibrated threshold go."""
+    """Keeps documents whose language is accepted; null texts, those without a letter and those below the calibrated threshold go.
+
+    Without labelled rows to learn from none is accepted. Repeated rows stay or go together.
+    """
     model = langid.train(docs, learn=F.pmod(common.crc32_text(F.col("id")), F.lit(4)) != 2)
     return langid.identify(docs, model).where("lang_accepted").select(*docs.columns)
 
@@ -30,17 +33,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without a passage of the benchmark."""
+    """Keeps documents without a passage of the benchmark, in any order; null and empty texts have none, repeated rows stay or go together."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it, up to three times; those that it doesn't take go."""
+    """Repeats each document as often as the mix takes it, up to three times; those that it doesn't take go.
+
+    Null sources are one source, null texts have size 0. Of equal rows as many are taken as fit; an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns what they hold for each document."""
+    """Writes the token files and returns what they hold for each document: repeated rows have a row each, null and empty texts the end id alone, null ids come first."""
     folder = common.fresh_dir(spark, "pipeline-tokens")
     tokenfile.write(docs, folder)
     return tokenfile.read(spark, folder)
@@ -50,12 +56,15 @@ STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    """The stages over documents. A stage's folder goes when the next one has written its own, and its checkpoints with it."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
         folder = common.fresh_dir(spark, f"pipeline-{name}")
-        out.write.parquet(folder)
-        docs = spark.read.parquet(folder)
-    return docs
+        with common.passing_checkpoints(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        if read:
+            common.remove(spark, read)
+        docs, read = spark.read.parquet(folder), folder
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    common.remove(spark, read)  # the token files are written
+    return out
