@@ -368,7 +368,7 @@ def test_mixing_of_null_repeated_and_equal_rows(spark):
     assert mixing.mix(wide).columns == wide.columns and mixing.mix(wide).count() == sum(r["copies"] for r in out)
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
@@ -377,5 +377,22 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = common.cut(stage(spark, kept, sf))
         assert kept.columns == docs.columns, name
-    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == kept.count()
-    assert pa is not None
+    want = {tuple(r) for r in corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()}
+    assert len(want) == kept.count()
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    assert {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()} == want and before.isDefined()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    rows = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", None, 0), (None, "no id here at all", None, "a", 1), (None, "no id here at all", None, "a", 1), (900, "word " * 20_000, "en", "b", 1)], docs.schema)
+    mixed = docs.unionByName(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, mixed, sf)
+        assert got.columns == docs.columns and got.count() > 0, name
+        assert stage(spark, mixed.limit(0), sf).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, mixed, sf).count() == mixed.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, mixed.limit(0), sf).count() == 0
