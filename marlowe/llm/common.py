@@ -121,6 +121,10 @@ def seeded(column: Column, seed: int, digits: int = 13) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint").cast("double") / F.lit(float(16**digits))
 
 
+#: Labels up to which their counts are broadcast.
+MOST_LABELS = 100_000
+
+
 def bounded_sample(labelled: DataFrame, key: str, label: str, most: int, seed: int, made: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """``most`` rows at most, the labels as even as their counts allow; which rows, the key's hash decides.
 
@@ -128,8 +132,9 @@ def bounded_sample(labelled: DataFrame, key: str, label: str, most: int, seed: i
     rows be more, those with the least hashes stay, so that reruns agree. ``made`` changes the thinned rows before they
     are ranked, to what is small enough for the driver; it keeps the columns _draw and ``key``.
     """
-    counts = labelled.groupBy(F.col(label).alias("_label")).count()
+    counts = cut(labelled.groupBy(F.col(label).alias("_label")).count())
     kinds = counts.count()
+    counts = F.broadcast(counts) if kinds <= MOST_LABELS else counts
     if not kinds:
         return made(labelled.withColumn("_draw", F.lit(0.0))).drop("_draw").limit(0)
     rate = F.lit(most / kinds * 0.95) / F.col("count")

@@ -9,6 +9,7 @@ threshold are calibrated on labelled rows that the descent has not seen.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,7 +141,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for batch in common.slices(batches):
             texts = batch.column(0).to_pylist()
             made = [bag(t) if any(map(str.isalpha, t)) else None for t in texts]
-            parts = [pa.array([m and m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
+            parts = [pa.array([m and zlib.compress(m[k].astype(kind).tobytes(), 1) for m in made], pa.binary()) for k, kind in ((0, np.uint16), (1, np.int32))]  # most counts are 1
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3)), *parts], names=["id", "lang", "_draw", "at", "n"])
 
     def made(some: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     got = common.bounded_sample(rows, "id", "lang", sample_rows, seed, made).collect()
     got.sort(key=lambda r: (r["id"], r["at"] or b"", r["n"] or b""))
-    return fit_bags([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), r["lang"]) for r in got if r["at"]], seed=seed)
+    return fit_bags([(np.frombuffer(zlib.decompress(r["at"]), np.uint16), np.frombuffer(zlib.decompress(r["n"]), np.int32), r["lang"]) for r in got if r["at"]], seed=seed)
 
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
