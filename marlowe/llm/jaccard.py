@@ -2,10 +2,12 @@
 
 A similarity of 0.8 changes some ten of 64 bits, more than any pigeonhole can look for at the documents' number. So the
 fingerprints' links are candidates only, and a prefix filter, which misses no pair at any threshold, gives the others.
-Two sets of similarity t at least share a shingle among the first n - ceil(t n) + 1 of each, in any order that all sets
-use (prefix filter). Shingles that are common in a sample come last, so that a line which many documents hold links
-few of them; the sample moves work only, never results. Documents that share such a shingle, and whose sizes allow t,
-form candidate groups; inside these every pair is compared on the full sets until it is known to be connected.
+Two sets of similarity t at least share l shingles among the first n - ceil(t n) + l of each, in any order that all
+sets use (prefix filter; l grows with the set, so that a passage in two long texts proposes nothing). Shingles that
+are common in a sample come last, so that a line which many documents hold links few of them; the sample moves work
+only, never results. Pairs that share a shingle of few sets are counted; in one of many sets all hang on the first,
+and whatever hangs together is verified. Candidates form groups; inside these every pair is compared on the full sets
+until it is known to be connected.
 """
 
 from __future__ import annotations
@@ -34,9 +36,12 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64)) if shingles.size else 0
 
 
-def common_shingles(texts: DataFrame, words: int, rows: int = 16_384, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least ``least`` of about ``rows`` sampled texts hold, ascending, and how many hold them."""
-    rate = min(1.0, rows / max(1, texts.count()))
+def common_shingles(texts: DataFrame, words: int, rows: int = 16_384, share: int = 16, least: int = 4, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least ``least`` of a sample hold, the ``most`` commonest of them, ascending, and how many hold them.
+
+    The sample is about one text in ``share``, ``rows`` at least, so that it grows with the corpus.
+    """
+    rate = min(1.0, max(rows / max(1, texts.count()), 1 / share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -50,10 +55,15 @@ def common_shingles(texts: DataFrame, words: int, rows: int = 16_384, least: int
     return keys[order], often["count"].to_numpy(np.int64)[order]
 
 
+def shared_at_least(n):
+    """How many shingles of their prefixes two similar sets share, the smaller one having n."""
+    return 1 + n // 20
+
+
 def prefix(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """The shingles of which two sets of similarity ``least`` share one: rare ones first, then by hash."""
+    """The shingles of which two sets of similarity ``least`` share ``shared_at_least``: rare ones first, then by hash."""
     n = shingles.size
-    keep = n + (-least[0] * n // least[1]) + 1 if n else 0
+    keep = min(n, n + (-least[0] * n // least[1]) + shared_at_least(n)) if n else 0
     rank = np.zeros(n, np.int64)
     if often.size and n:
         at = np.minimum(np.searchsorted(often, shingles), often.size - 1)
@@ -87,26 +97,55 @@ def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(size), pa.array(sid)], names=["shingle", "size", "sid"])
 
 
-def stars(least: tuple[int, int]):
-    """Rows sorted by shingle and size: each set is linked to the first of its run. A run ends where sizes leave a gap."""
+def proposals(least: tuple[int, int], most: int = 192, hold: int = 4096):
+    """Rows sorted by shingle, size and set, to rows (a, b, need): a pair is a candidate if it comes ``need`` times or more.
+
+    A run has one shingle and sizes without a gap of more than ``least`` allows. Runs of up to ``most`` sets give all their
+    pairs that sizes allow; of longer ones each set hangs on the first, with need 0. At most ``hold`` rows are held.
+    """
+
+    def edges(x: np.ndarray, run: np.ndarray, centre: np.int64 | None) -> list[np.ndarray]:
+        size = np.bincount(run, minlength=1)
+        long = (size > most)
+        long[0] |= centre is not None
+        first = x[2][np.r_[0, np.cumsum(size)[:-1]]]
+        if centre is not None:
+            first[0] = centre
+        hot = long[run]
+        out = [np.stack([first[run[hot]], x[2][hot], np.zeros(hot.sum(), np.int64)])]
+        y, r = x[:, ~hot], run[~hot]
+        for d in range(1, most):
+            if r.size <= d:
+                break
+            near = np.flatnonzero((r[d:] == r[:-d]) & (least[1] * y[1][:-d] >= least[0] * y[1][d:]))
+            out.append(np.stack([y[2][near], y[2][near + d], shared_at_least(y[1][near])]))
+        return out
+
+    def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, need = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+        some = a != b
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[some]), pa.array(np.maximum(a, b)[some]), pa.array(need[some])], names=["a", "b", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # shingle, size, first sid of the run
+        held, centre = np.zeros((3, 0), np.int64), None  # the last run so far; if it is a long one its first set, and of its rows the last
         for batch in batches:
-            shingle, size, sid = (c.to_numpy() for c in batch.columns)
-            if not shingle.size:
+            x = np.concatenate([held, np.array([c.to_numpy() for c in batch.columns], np.int64)], axis=1)
+            x = x[:, np.r_[True, (x[:, 1:] != x[:, :-1]).any(axis=0)]] if x.size else x
+            if not x.size:
                 continue
-            new = np.r_[True, (shingle[1:] != shingle[:-1]) | (least[1] * size[:-1] < least[0] * size[1:])]
-            if last and shingle[0] == last[0] and least[1] * last[1] >= least[0] * size[0]:
-                new[0] = False
-            begins = np.flatnonzero(new)
-            firsts = sid[begins] if new[0] else np.r_[last[2], sid[begins]]
-            first = firsts[np.cumsum(new) - int(new[0])]
-            last = (shingle[-1], size[-1], first[-1])
-            some = first != sid
-            a, b = np.minimum(first, sid)[some], np.maximum(first, sid)[some]
-            both = np.unique(np.stack([a, b]), axis=1) if a.size else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            new = (x[0][1:] != x[0][:-1]) | (least[1] * x[1][:-1] < least[0] * x[1][1:])
+            at = np.r_[0, new.cumsum()]
+            last = int(np.flatnonzero(at == at[-1])[0])
+            if last:
+                yield batch_of(edges(x[:, :last], at[:last], centre))
+                centre = None
+            held = x[:, last:]
+            if centre is not None or held.shape[1] > hold:
+                centre = held[2, 0] if centre is None else centre
+                yield batch_of(edges(held, np.zeros(held.shape[1], np.int64), centre))
+                held = held[:, -1:]
+        if held.shape[1] > 1:
+            yield batch_of(edges(held, np.zeros(held.shape[1], np.int64), centre))
 
     return run
 
@@ -173,7 +212,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     firsts = marked.select(F.col("fp").alias("f"), F.col("sid").alias("s"))
     bits = alike.join(firsts, F.col("a") == F.col("f")).select("b", F.col("s").alias("a2")).join(firsts, F.col("b") == F.col("f")).select(F.col("a2").alias("a"), F.col("s").alias("b"))
     same = rows.where("size > 0").select("fp", "sid").distinct().join(marked.select("fp", F.col("sid").alias("a")), "fp").where("a <> sid").select("a", F.col("sid").alias("b"))
-    prefixes = dealt.mapInArrow(stars(least), "a BIGINT, b BIGINT")
+    shared = dealt.mapInArrow(proposals(least), "a BIGINT, b BIGINT, need BIGINT").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    prefixes = shared.where("n >= need").select("a", "b")
     close = components(prefixes.unionByName(bits).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     one = rows.where("size > 0").groupBy("sid").agg(F.min("mark").alias("mark"), F.first("size").alias("size"))
     wanted = common.cut(one.join(close, F.col("sid") == F.col("node")).select("mark", "sid", "size", "root"))
