@@ -1,7 +1,7 @@
 """Token ids as Arrow IPC files of fixed-size-list batches, for zero-copy random access to equal-length sequences.
 
 A data set is a folder of shards in ascending document order. A shard ``shard-*.arrow`` is an Arrow IPC file; each
-row is one sequence of exactly ``length`` ids and a mask of as many bytes, and all batches but the last
+row is one sequence of exactly ``length`` ids and a mask of as many bits, and all batches but the last
 have ``rows`` rows, so sequence k is row k % rows of batch k // rows. The documents' ids lie end to end; only the
 shard's last sequence is padded. ``shard-*.index.arrow`` says where each document lies. Files get names of their own
 for each task attempt and a task's manifest row names the file it has closed, so a lost executor or a second attempt
@@ -30,7 +30,7 @@ MANIFEST = "shard INT, path STRING, n_docs BIGINT, n_tokens BIGINT, length INT,
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("attention_mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("input_ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("attention_mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
@@ -63,7 +63,7 @@ class ShardWriter:
             n = -(-part.size // self.length)
             padded = np.zeros(n * self.length, self.dtype)
             padded[: part.size] = part
-            self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), self.length), pa.FixedSizeListArray.from_arrays(pa.array((np.arange(padded.size) < part.size).view(np.uint8)), self.length)], schema=self.schema))
+            self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), self.length), pa.FixedSizeListArray.from_arrays(pa.array(np.arange(padded.size) < part.size), self.length)], schema=self.schema))
             at += part.size
         self.held, self.n_held = [ids[at:]], ids.size - at
 
@@ -92,11 +92,13 @@ class ShardReader:
             self.last = (k, self.file.get_batch(k))
         return self.last[1]
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask (bytes, 1 for an id, 0 for padding) of the k-th sequence: views of the file's pages, not copies."""
-        batch, row = self.batch(k // self.rows), k % self.rows
-        part = slice(row * self.length, (row + 1) * self.length)
-        return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True)[part] for c in (0, 1))
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask (true for an id, false for padding) of the k-th sequence: views of the file's pages, not copies.
+
+        The mask stays an Arrow array, as numpy has no bits; as bytes it would take half as much again as the ids.
+        """
+        batch, at = self.batch(k // self.rows), k % self.rows * self.length
+        return batch.column(0).flatten().to_numpy(zero_copy_only=True)[at : at + self.length], batch.column(1).flatten().slice(at, self.length)
 
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, in pieces of a batch at most."""

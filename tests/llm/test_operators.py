@@ -141,8 +141,10 @@ def test_tokens_match_the_library(spark, odd, tmp_path):
         assert (s, d, n, c) == (start, r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += n
     reader = tokenfile.ShardReader(*tokenfile.pafs.FileSystem.from_uri(f"{folder}/{spark.read.parquet(folder + '/manifest').first()['path']}"), 16, 4)
-    for part in reader.sequence(0):
-        assert part.base is not None and part.size == 16 and not part.flags.writeable  # a view of the mapped file
+    ids, mask = reader.sequence(0)
+    whole = reader.batch(0).column(1).flatten()
+    assert ids.base is not None and ids.size == len(mask) == 16 and not ids.flags.writeable and mask.to_pylist()[0]
+    assert mask.buffers()[1].address == whole.buffers()[1].address  # both are views of the mapped file
     tokenfile.write(empty(spark), folder + "0")
     assert tokenfile.read(spark, folder + "0").count() == 0
 
