@@ -91,6 +91,11 @@ class Items:
         n, most = self.count[k], int(self.n.max())
         if not n.size:
             return np.zeros((0, 2), np.int64)
+        if n.sum() <= PAIRS:
+            row = np.repeat(self.first[k] - n.cumsum() + n, n) + np.arange(n.sum())
+            keys = self.item[row] * (1 << 40) + (np.repeat(at, n) - self.place[row] + most) // self.width + 1
+            keys, counts = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)
+            return self.enough(keys, counts)
         cut = np.searchsorted(n.cumsum(), np.arange(PAIRS, n.sum() + PAIRS, PAIRS))  # slices of some PAIRS equal pairs
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for i, j in zip(np.r_[0, cut[:-1] + 1], cut + 1, strict=True):
@@ -104,6 +109,10 @@ class Items:
             counts = np.bincount(back, np.concatenate([counts, times])).astype(np.int64)
         keys, back = np.unique(np.concatenate([keys, keys - 1]), return_inverse=True)
         counts = np.bincount(back, np.concatenate([counts, counts])).astype(np.int64)
+        return self.enough(keys, counts)
+
+    def enough(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(item, band) of the keys item * 2**40 + band + 1 whose counts meet the item's bound."""
         item = keys >> 40
         enough = counts >= self.need[item]
         return np.stack([item[enough], keys[enough] - (item[enough] << 40) - 1], axis=1)

@@ -7,6 +7,7 @@ L1 term leave few weights other than zero, so the model that goes to the executo
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,12 +102,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def bags(batches):
         for batch in common.slices(batches):
-            made = [np.unique(features(t)).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            made = [zlib.compress(np.diff(np.unique(features(t)), prepend=0).astype(np.int32).tobytes(), 1) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["id", "label", "at"])
 
     got = got.mapInArrow(bags, "id STRING, label INT, at BINARY").collect()
     got.sort(key=lambda r: r["id"])
-    return fit_bags([np.frombuffer(r["at"], np.int32) for r in got], [r["label"] for r in got], seed=seed)
+    return fit_bags([np.frombuffer(zlib.decompress(r["at"]), np.int32).cumsum() for r in got], [r["label"] for r in got], seed=seed)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
