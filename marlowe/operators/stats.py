@@ -41,22 +41,57 @@ def paired(scores: DataFrame, system: str, unit: str, value: str, anchor: str) -
     return met.groupBy(system).agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"), (F.avg("d") / F.stddev_pop("d")).alias("cohens_d"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"))
 
 
-def average_rank(order: Column, *partition: str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    window = Window.partitionBy(*partition).orderBy(order)
-    return F.rank().over(window) + (F.count("*").over(Window.partitionBy(*partition, order)) - 1) / 2
+def value_ranks(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by.., value, n, rank): ranks from 1, ties sharing their mean, from one row for each distinct value."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
+    return counts.withColumn("rank", upto - (F.col("n") - 1) / 2)
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """(by.., n, one column for each share): linear interpolation between the order statistics, from value counts and running sums.
+
+    Nulls are left out; a group without a value has no row (without ``by`` one of nulls).
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy(value))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    parts = []
+    for share in shares.values():
+        at = F.lit(share) * (F.col("_n") - 1)
+        parts += [F.min(F.when(F.col("_upto") > F.floor(at), F.col(value))), F.min(F.when(F.col("_upto") > F.ceil(at), F.col(value)))]
+    found = counts.groupBy(*by).agg(F.sum("_c").alias("n"), *[p.cast("double").alias(f"_q{i}") for i, p in enumerate(parts)])
+    for i, (name, share) in enumerate(shares.items()):
+        at = F.lit(share) * (F.col("n") - 1)
+        found = found.withColumn(name, F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (at - F.floor(at)))
+    return found.select(*by, "n", *shares)
 
 
 def wilcoxon(pairs: DataFrame, by: str, diff: str) -> DataFrame:
     """W+ and W- over non-zero differences, ranks of equal sizes averaged."""
     some = pairs.where(F.col(diff) != 0).withColumn("size", F.round(F.abs(diff), 9))
-    ranked = some.withColumn("r", average_rank(F.col("size"), by))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(diff) > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(diff) < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
+    signed = some.groupBy(by, "size").agg(F.count("*").alias("n"), F.count_if(F.col(diff) > 0).alias("n_plus"))
+    ranked = signed.withColumn("rank", F.sum("n").over(Window.partitionBy(by).orderBy("size")) - (F.col("n") - 1) / 2)
+    return ranked.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n_plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("n_plus"))).alias("w_minus"))
+
+
+def weighted_correlation(rows: DataFrame, x: str, y: str, n: str, *by: str) -> DataFrame:
+    """(by.., n, rho): Pearson's correlation of rows that each stand for ``n``; null without spread."""
+    w = F.col(n)
+    sums = rows.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * F.col(x)).alias("_x"), F.sum(w * F.col(y)).alias("_y"), F.sum(w * F.col(x) * F.col(x)).alias("_xx"), F.sum(w * F.col(y) * F.col(y)).alias("_yy"), F.sum(w * F.col(x) * F.col(y)).alias("_xy"))
+    spread = (F.col("_xx") - F.col("_x") * F.col("_x") / F.col("n")) * (F.col("_yy") - F.col("_y") * F.col("_y") / F.col("n"))
+    return sums.select(*by, "n", F.when(spread > 0, (F.col("_xy") - F.col("_x") * F.col("_y") / F.col("n")) / F.sqrt(spread)).alias("rho"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    ranked = rows.withColumn("rx", average_rank(F.col(x), *by)).withColumn("ry", average_rank(F.col(y), *by))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    """Rank correlation from the counts of (x, y) pairs and of values: no row of the input is ranked by itself."""
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n"))
+    for c, name in ((x, "rx"), (y, "ry")):
+        counts = pairs.groupBy(*by, c).agg(F.sum("n").alias("m"))
+        ranks = counts.select(*by, c, (F.sum("m").over(Window.partitionBy(*by).orderBy(c)) - (F.col("m") - 1) / 2).alias(name))
+        pairs = pairs.join(ranks, [*by, c])
+    centre = pairs.groupBy(*by).agg((F.sum(F.col("rx") * F.col("n")) / F.sum("n")).alias("_mean"))  # both ranks have it
+    met = pairs.join(F.broadcast(centre), list(by)) if by else pairs.crossJoin(F.broadcast(centre))  # a row for each group
+    return weighted_correlation(met.withColumn("rx", F.col("rx") - F.col("_mean")).withColumn("ry", F.col("ry") - F.col("_mean")), "rx", "ry", "n", *by)
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -81,7 +116,7 @@ def mean_rank(scores: DataFrame, cell: list[str], system: str, value: str) -> Da
 
 def lexical_strata(scores: DataFrame, value: str) -> DataFrame:
     """Upper quartile (tested first, inclusive) aligned, lower quartile divergent, the rest between."""
-    q = scores.agg(F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"))
+    q = quantiles(scores, value, {"q25": 0.25, "q75": 0.75}).drop("n")
     met = scores.crossJoin(F.broadcast(q))
     return met.withColumn("stratum", F.when(F.col(value) >= F.col("q75"), "aligned").when(F.col(value) <= F.col("q25"), "divergent").otherwise("middle")).drop("q25", "q75")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,39 +198,48 @@ def stratified_metrics(spark, sf_dir):
     return rounded(scores(spark, sf_dir).join(strata.select("qid", "stratum"), "qid").groupBy("stratum", "k").agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg")))
 
 
-LEFT = ", ".join(f"({i})" for i in range(200))
 DRAW = "('0x' || substr(md5(b::VARCHAR || ':' || user_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0"
 #: Upper ends of the Poisson(1) distribution function, as an exact-enough CASE in both engines.
 POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]
 
 
 def copies(u: str) -> str:
-    return "CASE " + " ".join(f"WHEN {u} < {p}D THEN {i}" for i, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
+    return "CASE " + " ".join(f"WHEN {u} < {p} THEN {i}" for i, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
 
 
-def interval(spark, sf_dir, replicates: int) -> DataFrame:
-    """95 % percentile interval of the mean over users; partial sums leave each task, the exploded rows never do."""
-    r = units(spark, sf_dir).select("event_type", "user_id", "v", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("user_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    m = r.withColumn("h", h).withColumn("w", F.expr(copies("h"))).groupBy("event_type", "b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
-    return rounded(m.groupBy("event_type").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high")), 5)
+def replicate_means(units: DataFrame, by: str, unit: str, value: str, replicates: int) -> DataFrame:
+    """(by, b, mean): Poisson bootstrap means, drawn from a hash of replicate and unit.
 
+    Each task sums its rows' draws into an array with a place for each replicate, so that an array a task and group is
+    shuffled and never a row for each replicate.
+    """
+    schema = f"{by} {units.schema[by].dataType.simpleString()}, b BIGINT, vw DOUBLE, w BIGINT"
+    ends = np.array(POISSON)
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            for group, key, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                u = np.array([int(hashlib.md5(f"{b}:{key}".encode()).hexdigest()[:8], 16) for b in range(replicates)]) / 4294967296.0
+                w = np.searchsorted(ends, u, side="right")
+                vw, total = sums.setdefault(group, (np.zeros(replicates), np.zeros(replicates, np.int64)))
+                vw += v * w
+                total += w
+        for group, (vw, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([group] * replicates), pa.array(np.arange(replicates)), pa.array(vw), pa.array(total)], names=[by, "b", "vw", "w"])
+
+    parts = units.select(by, unit, value).mapInArrow(run, schema)
+    return parts.groupBy(by, "b").agg((F.sum("vw") / F.sum("w")).alias("mean"))
 
-@query(f"""WITH u AS (SELECT event_type, user_id, round(avg(value), 9) AS v FROM events GROUP BY ALL), r AS (SELECT event_type, b, v, {DRAW} AS h FROM (SELECT u.*, b FROM u, (VALUES {LEFT}) t(b))),
-m AS (SELECT event_type, b, sum(v * w) / sum(w) AS mean FROM (SELECT event_type, b, v, {copies('h').replace('D THEN', ' THEN')} AS w FROM r) GROUP BY ALL)
+
+@query(f"""WITH u AS (SELECT event_type, user_id, round(avg(value), 9) AS v FROM events GROUP BY ALL), r AS (SELECT event_type, b, v, {DRAW} AS h FROM (SELECT u.*, b FROM u, range(2000) t(b))),
+m AS (SELECT event_type, b, sum(v * w) / sum(w) AS mean FROM (SELECT event_type, b, v, {copies('h')} AS w FROM r) GROUP BY ALL)
 SELECT event_type, round(quantile_cont(mean, 0.025), 5) AS low, round(quantile_cont(mean, 0.975), 5) AS high FROM m GROUP BY event_type""")
 def bootstrap_ci(spark, sf_dir):
-    """95 % percentile interval of the mean over users from 200 Poisson bootstrap replicates.
+    """95 % percentile interval of the mean over users from 2,000 Poisson bootstrap replicates.
 
     Each row draws its own number of copies for each replicate from a hash, so replicates are partial sums and no
     resample is ever shuffled; the draws are not those of a generator seeded on one machine.
     """
-    return interval(spark, sf_dir, 200)
-
-
-@query(f"""WITH u AS (SELECT event_type, user_id, round(avg(value), 9) AS v FROM events GROUP BY ALL), r AS (SELECT event_type, b, v, {DRAW} AS h FROM (SELECT u.*, b FROM u, range(2000) t(b))),
-m AS (SELECT event_type, b, sum(v * w) / sum(w) AS mean FROM (SELECT event_type, b, v, {copies('h').replace('D THEN', ' THEN')} AS w FROM r) GROUP BY ALL)
-SELECT event_type, round(quantile_cont(mean, 0.025), 5) AS low, round(quantile_cont(mean, 0.975), 5) AS high FROM m GROUP BY event_type""")
-def bootstrap_ci_2000(spark, sf_dir):
-    """bootstrap_ci with the reference's 2,000 replicates."""
-    return interval(spark, sf_dir, 2000)
+    means = replicate_means(units(spark, sf_dir), "event_type", "user_id", "v", 2000)
+    return rounded(stats.quantiles(means, "mean", {"low": 0.025, "high": 0.975}, "event_type").drop("n"), 5)

@@ -26,20 +26,20 @@ def both(spark, duck, name):
 
 
 def test_every_stated_query_is_searched(spark, duck):
-    mine, got, want = both(spark, duck, "dense_ip_topk_stated")
+    mine, got, want = both(spark, duck, "dense_ip_topk")
     assert got == want
     assert {r["qid"] for r in mine.collect()} == {r[0] for r in duck.execute("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0").fetchall()}
 
 
-def test_more_queries_than_are_broadcast(spark):
+def test_queries_in_blocks(spark):
     v = spark.range(40).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
     q = v.select(F.col("doc_id").alias("qid"), F.col("vector").alias("query"))
-    got = {(r["qid"], r["doc_id"]): r["score"] for r in retrieve.dense(v, q, most_queries=5).collect()}
+    got = {(r["qid"], r["doc_id"]): r["score"] for r in retrieve.dense(v, q, block=5).collect()}
     assert got == {(a, b): a * b + 1.0 for a in range(40) for b in range(40)}
 
 
 def test_the_first_cut_holds_500(spark, duck):
-    mine, got, want = both(spark, duck, "dense_postfilter_topk_stated")
+    mine, got, want = both(spark, duck, "dense_postfilter_topk")
     assert got == want
     v = duck.execute("SELECT vec_id, embedding, label FROM embeddings").fetchall()
     most = {}
@@ -52,8 +52,9 @@ def test_the_first_cut_holds_500(spark, duck):
     assert found == {q: x for q, x in most.items() if x}
 
 
-def test_bootstrap_makes_2000_replicates(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(analysis, "interval", lambda spark, sf_dir, n: asked.append(n))
-    registry.QUERIES["bootstrap_ci_2000"](spark, SF)
-    assert asked == [2000] and "range(2000)" in registry.SQL["bootstrap_ci_2000"]
+def test_bootstrap_is_what_resampling_gives(spark):
+    rows = [("a", i, float(i % 7)) for i in range(400)]
+    units = spark.createDataFrame(rows, "event_type STRING, user_id BIGINT, v DOUBLE")
+    means = sorted(r["mean"] for r in analysis.replicate_means(units, "event_type", "user_id", "v", 300).collect())
+    centre = sum(v for _, _, v in rows) / 400
+    assert len(means) == 300 and abs(sum(means) / 300 - centre) < 0.03 and 0.2 < means[-8] - centre < 0.3 and "range(2000)" in registry.SQL["bootstrap_ci"]
