@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters of a token, and the function words that the store tokeniser leaves out.
 TOKEN = "[a-zA-Z0-9àâäãæçéèêëîïíìôöóòœùûüúñýÿÀÂÄÃÆÇÉÈÊËÎÏÍÌÔÖÓÒŒÙÛÜÚÑÝŸ]+"
@@ -77,3 +80,16 @@ def yes_no(answer: Column) -> Column:
     """1 for an answer that starts with Oui or yes, 0 for Non or no, else null."""
     word = F.lower(F.regexp_extract(answer, r"^\W*(\w+)", 1))
     return F.when(word.isin("oui", "yes"), 1).when(word.isin("non", "no"), 0)
+
+
+@F.pandas_udf(T.StringType())
+def folded_key(text: pd.Series) -> pd.Series:
+    """NFKD without combining marks, lower case, trimmed; null stays null."""
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().strip())
+
+
+def cross_references(text: Column) -> Column:
+    """Numbers of cited articles by both of the loader's patterns, distinct and sorted."""
+    first, second = r"(?i)(?:article|art\.?)\s+([D.]?\s*\d+(?:\.\d+)?)", r"(?i)(?:visé|prévu|conformément)\s+(?:à|par)\s+(?:l['’])?article\s+([D.]?\s*\d+)"
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (first, second)])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(x))))

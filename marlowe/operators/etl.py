@@ -82,3 +82,37 @@ def needles(text: Column, width: int = 80, stride: int = 60) -> Column:
     n = F.char_length(text)
     at = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)), F.lit(stride))
     return F.array_distinct(F.concat(F.transform(at, lambda i: F.substring(text, i + 1, F.lit(width))), F.array(F.substring(text, F.greatest(n - width + 1, F.lit(1)), F.lit(width)))))
+
+
+def numbered(ordered: DataFrame, *order: str, new: str = "id") -> DataFrame:
+    """Appends ids from 1 to rows that are sorted by range partitions: one row a partition meets on a single task, never the rows."""
+    marked = ordered.withColumn("_p", F.spark_partition_id())
+    counts = marked.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return marked.join(F.broadcast(before), "_p").withColumn(new, F.col("_before") + local).drop("_p", "_before")  # a row for each partition
+
+
+def id_map(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n_sharing, bijective): how many rows share each value of b."""
+    return pairs.join(pairs.groupBy(b).agg(F.count("*").alias("n_sharing")), b).withColumn("bijective", F.col("n_sharing") == 1).select(a, b, "n_sharing", "bijective")
+
+
+def null_text_class(no: Column) -> Column:
+    """Why an article has no text, by its number; null numbers are other."""
+    return F.when(F.contains(no, F.lit("_REGION")) | F.contains(no, F.lit("_COMMUNAUTE")), "regional_variant").when(F.contains(no, F.lit("-")), "range_header").otherwise("other")
+
+
+def sanitised(rows: DataFrame, *, drop: list[str], column: str, values: list) -> DataFrame:
+    """Without some columns and without the rows of some values; rows of a null value stay."""
+    return rows.where(~F.coalesce(F.col(column).isin(*values), F.lit(False))).drop(*drop)
+
+
+def gold_buckets(edges: DataFrame, keys: list[str], target: str, *, strict: Column, lenient: Column) -> DataFrame:
+    """For each key: its distinct targets, those under two conditions, and the strictest condition that all (linked: some) meet."""
+    one = edges.groupBy(*keys, target).agg(F.max(F.coalesce(strict, F.lit(False))).alias("s"), F.max(F.coalesce(lenient, F.lit(False))).alias("l"))
+    n, s, le = F.count("*"), F.count_if("s"), F.count_if("l")
+    names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("s"), F.col(target)))), ",")
+    out = one.groupBy(*keys).agg(n.alias("n_gold"), s.alias("n_strict"), le.alias("n_lenient"), F.nullif(names, F.lit("")).alias("strict"))
+    bucket = F.when(F.col("n_strict") == F.col("n_gold"), "strict").when(F.col("n_lenient") == F.col("n_gold"), "lenient").when(F.col("n_lenient") > 0, "linked").otherwise("none")
+    return out.withColumn("bucket", bucket)

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from marlowe.plans import analysis, corpus, evaluation, navigation, panels, ranking, registry  # noqa: F401
+from marlowe.plans import analysis, articles, corpus, evaluation, navigation, panels, ranking, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [n for n, f in registry.QUERIES.items() if f.__module__.endswith(("analysis", "corpus", "evaluation", "navigation", "panels", "ranking"))]
+NAMES = [n for n, f in registry.QUERIES.items() if f.__module__.endswith(("analysis", "articles", "corpus", "evaluation", "navigation", "panels", "ranking"))]
 
 
 @pytest.fixture(scope="module")
