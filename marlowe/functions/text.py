@@ -93,3 +93,15 @@ def cross_references(text: Column) -> Column:
     first, second = r"(?i)(?:article|art\.?)\s+([D.]?\s*\d+(?:\.\d+)?)", r"(?i)(?:visé|prévu|conformément)\s+(?:à|par)\s+(?:l['’])?article\s+([D.]?\s*\d+)"
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (first, second)])
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(x))))
+
+
+def prefixed(text: Column, prefix: str) -> Column:
+    """The text after an encoder's prefix; null counts as empty."""
+    return F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))
+
+
+def fts_query(text: Column, stop: list[str] | None = None) -> Column:
+    """Distinct terms in order, function words left out unless nothing else is there, joined by OR."""
+    terms = F.array_distinct(tokens(text))
+    kept = F.filter(terms, lambda w: ~w.isin(*(stop or FUNCTION_WORDS)))
+    return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(terms), " OR ")

@@ -86,17 +86,17 @@ def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Rank correlation from the counts of (x, y) pairs and of values: no row of the input is ranked by itself."""
     pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n"))
     for c, name in ((x, "rx"), (y, "ry")):
-        counts = pairs.groupBy(*by, c).agg(F.sum("n").alias("m"))
-        ranks = counts.select(*by, c, (F.sum("m").over(Window.partitionBy(*by).orderBy(c)) - (F.col("m") - 1) / 2).alias(name))
+        counts = pairs.groupBy(*by, c).agg(F.sum("n").alias("_m"))
+        ranks = counts.select(*by, c, (F.sum("_m").over(Window.partitionBy(*by).orderBy(c)) - (F.col("_m") - 1) / 2).alias(name))
         pairs = pairs.join(ranks, [*by, c])
     centre = pairs.groupBy(*by).agg((F.sum(F.col("rx") * F.col("n")) / F.sum("n")).alias("_mean"))  # both ranks have it
     met = pairs.join(F.broadcast(centre), list(by)) if by else pairs.crossJoin(F.broadcast(centre))  # a row for each group
     return weighted_correlation(met.withColumn("rx", F.col("rx") - F.col("_mean")).withColumn("ry", F.col("ry") - F.col("_mean")), "rx", "ry", "n", *by)
 
 
-def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
+def agreement(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """Confusion counts, accuracy and Cohen's kappa of two 0/1 columns."""
-    out = rows.agg(*[F.count_if((F.col(a) == i) & (F.col(b) == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)])
+    out = rows.groupBy(*by).agg(*[F.count_if((F.col(a) == i) & (F.col(b) == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)])
     n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
     po = (F.col("n00") + F.col("n11")) / n
     pe = ((F.col("n10") + F.col("n11")) * (F.col("n01") + F.col("n11")) + (F.col("n00") + F.col("n01")) * (F.col("n00") + F.col("n10"))) / (n * n)
