@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,3 +105,11 @@ def fts_query(text: Column, stop: list[str] | None = None) -> Column:
     terms = F.array_distinct(tokens(text))
     kept = F.filter(terms, lambda w: ~w.isin(*(stop or FUNCTION_WORDS)))
     return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(terms), " OR ")
+
+
+def lemmas(rows: DataFrame, forms: DataFrame, id_col: str, text_col: str, stop: list[str] | None = None) -> DataFrame:
+    """(id, lemmas): a row's tokens in order, each as its lemma by the dictionary (term, lemma), function words left out. Ids are unique."""
+    each = rows.select(id_col, F.posexplode_outer(tokens(F.col(text_col))).alias("at", "term")).join(forms, "term", "left")
+    word = F.coalesce("lemma", "term")
+    kept = F.when(~word.isin(*(stop or FUNCTION_WORDS)), F.struct("at", word.alias("w")))
+    return each.groupBy(id_col).agg(F.array_sort(F.collect_list(kept)).alias("x")).select(id_col, F.transform("x", lambda x: x["w"]).alias("lemmas"))

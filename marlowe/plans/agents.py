@@ -186,3 +186,15 @@ def attached_catalogs(spark, sf_dir):
 def indexable_rows(spark, sf_dir):
     """STR-14: neither headers nor blanks."""
     return table(spark, sf_dir, "conversations").where("trim(coalesce(text, '')) <> '' AND role <> 'system'").select("conv_id", "turn", "role")
+
+
+LEMMA = "CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN w[:-2] ELSE w END"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_filter(list_transform({TOK.format('text')}, lambda w: {LEMMA}), lambda w: NOT list_contains({STOP}, w)), ' ')) AS lemmas FROM documents WHERE text IS NOT NULL")
+def lemmatised(spark, sf_dir):
+    """TOK-02: a dictionary of forms joined to the tokens; forms that it lacks stay. The stand-in dictionary takes a final s off."""
+    b = Base(spark, sf_dir)
+    forms = b.posts.select("term").distinct().where("length(term) > 3 AND term LIKE '%s'").select("term", F.expr("substr(term, 1, length(term) - 1)").alias("lemma"))
+    rows = tx.lemmas(b.docs.where("text IS NOT NULL"), forms, "doc_id", "text")
+    return rows.select("doc_id", F.md5(F.array_join("lemmas", " ").cast("binary")).alias("lemmas"))

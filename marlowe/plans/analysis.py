@@ -56,10 +56,20 @@ def sql_coverage(spark, sf_dir):
     return rounded(d.groupBy("lang").agg(F.avg(F.col("source").isNotNull().cast("int")).alias("with_source"), F.avg(F.col("hit").isNotNull().cast("int")).alias("with_label")))
 
 
-@query("SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+@query("SELECT CASE WHEN grouping(nullif(l_returnflag, 'A')) = 1 THEN '*' ELSE coalesce(nullif(l_returnflag, 'A'), '(none)') END AS flag, CASE WHEN grouping(l_linestatus) = 1 THEN '*' ELSE coalesce(l_linestatus, '(none)') END AS status, count(*) AS n FROM lineitem GROUP BY CUBE (nullif(l_returnflag, 'A'), l_linestatus)")
 def sql_crosstab_cube(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-    return c.select(F.coalesce("l_returnflag", F.lit("*")).alias("flag"), F.coalesce("l_linestatus", F.lit("*")).alias("status"), "n")
+    """Totals are known by their grouping, so that a null key is a group of its own."""
+    c = table(spark, sf_dir, "lineitem").select(F.nullif("l_returnflag", F.lit("A")).alias("f"), F.col("l_linestatus").alias("s")).cube("f", "s").agg(F.count("*").alias("n"), F.grouping("f").alias("gf"), F.grouping("s").alias("gs"))
+    return c.select(F.when(F.col("gf") == 1, "*").otherwise(F.coalesce("f", F.lit("(none)"))).alias("flag"), F.when(F.col("gs") == 1, "*").otherwise(F.coalesce("s", F.lit("(none)"))).alias("status"), "n")
+
+
+@query("SELECT p_partkey, p_partkey NOT IN (SELECT CASE WHEN l_linenumber = 1 THEN l_partkey END FROM lineitem WHERE l_quantity > 45) AS absent FROM part")
+def sql_not_in_nulls(spark, sf_dir):
+    """NOT IN a list with nulls: false for what the list has, null for all else."""
+    listed = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.when(F.col("l_linenumber") == 1, F.col("l_partkey")).alias("p_partkey"))
+    nulls = listed.agg((F.count_if(F.col("p_partkey").isNull()) > 0).alias("has_null"))
+    met = table(spark, sf_dir, "part").select("p_partkey").join(listed.where("p_partkey IS NOT NULL").distinct().withColumn("hit", F.lit(1)), "p_partkey", "left").crossJoin(F.broadcast(nulls))
+    return met.select("p_partkey", F.when(F.col("hit") == 1, F.lit(False)).when(~F.col("has_null"), F.lit(True)).alias("absent"))
 
 
 @query("SELECT c_mktsegment, round(avg(c_acctbal), 6) AS mean, arg_max(c_name, (c_acctbal, c_custkey)) AS richest, round(quantile_cont(c_acctbal, 0.9), 6) AS p90 FROM customer GROUP BY c_mktsegment")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +75,29 @@ def text_table(df: DataFrame, style: str = "markdown", *, most_rows: int = 2000)
         return "\n".join(" & ".join(x.translate(marks) for x in line) + r" \\" for line in [df.columns, *body])
     mark = {"csv": ",", "tsv": "\t"}[style]
     return "\n".join(mark.join('"' + x.replace('"', '""') + '"' if any(c in x for c in (mark, '"', "\n")) else x for x in line) for line in [df.columns, *body])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name under ``spark.checkpoint.dir``; where that is unset, a local one, on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="marlowe-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def build_table(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Writes a table whose files are ranges of the keys, sorted within, so that scans for a key skip files and row groups; rereads it."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def weights(table: DataFrame, pairs: DataFrame, keys: list[str], default: float = 0.0) -> DataFrame:
+    """Looks the weight of each pair up in a weight table; pairs without one have the default."""
+    return pairs.join(table.select(*keys, "weight"), keys, "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
+
+
+def stamp(df: DataFrame, settings: dict, name: str) -> DataFrame:
+    """One row that says what was run: name, settings' fingerprint and rows."""
+    return df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), F.lit(fingerprint(settings)).alias("config"), "n_rows")
