@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlowe.functions import text as tx
-from marlowe.operators import agents, packing, reports
+from marlowe.operators import agents, fuse, packing, reports, retrieve
 from marlowe.operators.retrieve import dot, unit
-from marlowe.plans.ranking import BASE, TOK, Base, rounded
+from marlowe.plans.ranking import BASE, TOK, TWO, Base, okapi, rounded, shown, top, two
 from marlowe.plans.registry import query, table
 from marlowe.plans.reports import JUDGED, RUNS, gold_of, run_of
 
@@ -198,3 +198,25 @@ def lemmatised(spark, sf_dir):
     forms = b.posts.select("term").distinct().where("length(term) > 3 AND term LIKE '%s'").select("term", F.expr("substr(term, 1, length(term) - 1)").alias("lemma"))
     rows = tx.lemmas(b.docs.where("text IS NOT NULL"), forms, "doc_id", "text")
     return rows.select("doc_id", F.md5(F.array_join("lemmas", " ").cast("binary")).alias("lemmas"))
+
+
+@query(f"{TWO}, r AS ({top('SELECT qid, doc_id, 1 / (60 + coalesce(s.rank, 101)) + 1 / (60 + coalesce(d.rank, 101)) AS score FROM s FULL JOIN d USING (qid, doc_id)', 50)}) {top('SELECT qid, r.doc_id, r.score * CASE WHEN lang = $$en$$ THEN 1.1 ELSE 1.0 END AS score FROM r JOIN documents USING (doc_id)', 10)}")
+def metadata_arm(spark, sf_dir):
+    """RET-12: sparse and dense runs fused, then boosted by metadata."""
+    fused = retrieve.top_k(fuse.rrf(list(two(spark, sf_dir)), missing="rank"), 50).withColumn("score", F.round("score", 6))
+    facts = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    boosted = fused.drop("rank").join(facts, "doc_id").withColumn("score", F.col("score") * F.when(F.col("lang") == "en", 1.1).otherwise(1.0))
+    return shown(retrieve.top_k(boosted, 10))
+
+
+SPLIT = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"WITH {BASE}, p AS ({top(okapi(), 20)}), w AS (SELECT qid, doc_id, rank AS first, {SPLIT.format('b.text')} AS q, {SPLIT.format('d.text')} AS t FROM p JOIN benchmark b ON b.item_id = qid JOIN documents d USING (doc_id)), s AS (SELECT *, len(list_intersect(q, t)) / len(q) AS score FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first) AS rank FROM s) SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+def hooked_rerank(spark, sf_dir):
+    """FUS-07 and 08, UDF-07: a first stage's 20 best re-ranked by a pair scorer, here the share of shared words."""
+    b = Base(spark, sf_dir)
+    pool = retrieve.top_k(b.bm25(), 20)
+    queries = b.items.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    out = agents.reranked(pool, queries, b.docs.select("doc_id", "text"), agents.overlap_scores, 5)
+    return rounded(out.select("qid", "doc_id", "score", F.col("rank").cast("bigint").alias("rank")))

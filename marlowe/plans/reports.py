@@ -309,3 +309,25 @@ def metric_key_map(spark, sf_dir):
     first = means_of(pq, "recall", "recall@")
     second = means_of(pq.where("k > 5"), "ap", "recall@").unionByName(means_of(pq, "recall", "idrecall@")).withColumnRenamed("v", "w")
     return first.join(second, ["system", "metric"], "full").select("system", "metric", F.coalesce("v", "w").alias("value"))
+
+
+GRID = "g AS (SELECT i / 20 AS w1, j / 20 AS w2, (20 - i - j) / 20 AS w3 FROM range(21) a(i), range(21) b(j) WHERE i + j <= 20)"
+
+
+@query(f"""WITH {PER_QUERY}, s AS (SELECT system, round(avg(precision), 6) AS a, round(avg(recall), 6) AS b, round(avg(rr), 6) AS c, round(avg(ndcg), 6) AS target FROM pq WHERE k = 10 GROUP BY system), {GRID},
+v AS (SELECT w1, w2, w3, system, round(w1 * a + w2 * b + w3 * c, 9) AS x, target AS y FROM s, g), r AS (SELECT w1, w2, w3, rank() OVER (PARTITION BY w1, w2, w3 ORDER BY x) + (count(*) OVER (PARTITION BY w1, w2, w3, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY w1, w2, w3 ORDER BY y) + (count(*) OVER (PARTITION BY w1, w2, w3, y) - 1) / 2 AS ry FROM v),
+c AS (SELECT w1, w2, w3, round(corr(rx, ry), 6) AS rho FROM r GROUP BY ALL) SELECT w1, w2, w3, rho FROM c WHERE rho IS NOT NULL ORDER BY rho DESC, w1, w2, w3 LIMIT 1""")
+def weight_fit(spark, sf_dir):
+    """STA-27: the weights on a grid of 0.05 whose mix ranks the systems most like the target; the first of equal ones. The report is one row."""
+    s = scored(spark, sf_dir).where("k = 10").groupBy("system").agg(*[F.round(F.avg(n), 6).alias(a) for n, a in (("precision", "a"), ("recall", "b"), ("rr", "c"), ("ndcg", "target"))])
+    grid = spark.range(21).select(F.col("id").alias("i")).join(spark.range(21).select(F.col("id").alias("j")), F.col("i") + F.col("j") <= 20).select((F.col("i") / 20).alias("w1"), (F.col("j") / 20).alias("w2"), ((20 - F.col("i") - F.col("j")) / 20).alias("w3"))
+    cells = s.join(F.broadcast(grid)).withColumn("x", F.round(F.col("w1") * F.col("a") + F.col("w2") * F.col("b") + F.col("w3") * F.col("c"), 9))  # 231 rows of weights
+    rho = rounded(stats.spearman(cells, "x", "target", "w1", "w2", "w3")).where("rho IS NOT NULL")
+    return rho.orderBy(F.col("rho").desc(), "w1", "w2", "w3").limit(1).select("w1", "w2", "w3", "rho")
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM c) SELECT user_id, event_type AS law, n, e.total FROM m JOIN (SELECT user_id, count(*) AS total FROM events GROUP BY 1) e USING (user_id) WHERE r = 1")
+def panel_assembly(spark, sf_dir):
+    """STA-28: a row for each unit, with its commonest value, of equally common ones the first by name."""
+    c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return c.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("law"), F.max("n").alias("n"), F.sum("n").alias("total"))

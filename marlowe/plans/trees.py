@@ -78,3 +78,38 @@ def dense_view(spark, sf_dir):
     """RET-13: the part of a pool that has a dense score, the greatest of a document."""
     pool = run_of(spark, sf_dir).groupBy("qid", "doc").agg(F.max(F.when(F.col("system") == "view", F.col("score"))).alias("score"))
     return rounded(pool.where("score IS NOT NULL"))
+
+
+@query(f"""WITH RECURSIVE {TREE}, k AS (SELECT parent, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent), up(node, ancestor, steps) AS (SELECT node, node, 0 FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree x WHERE x.parent = t.node) UNION ALL SELECT u.node, t.parent, u.steps + 1 FROM up u JOIN tree t ON t.node = u.ancestor WHERE t.parent IS NOT NULL),
+l AS (SELECT u.node, max(steps) AS depth, count(*) FILTER (k.n > 1) AS decisions, max(CASE WHEN steps = 1 THEN k.n END) AS section FROM up u LEFT JOIN k ON k.parent = u.ancestor GROUP BY u.node) SELECT depth, count(*) AS n, round(avg(decisions), 6) AS mean_decisions, round(avg(section), 6) AS mean_section, round(avg((section IS NULL)::INT), 6) AS orphans, round(avg((coalesce(section, 0) > 15)::INT), 6) AS oversized FROM l GROUP BY depth""")
+def reachability_barriers(spark, sf_dir):
+    """DIA-08: decisions on the way to a leaf, the size of its section, orphans and oversized sections by depth."""
+    nodes = tree_of(spark, sf_dir)
+    children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("ancestor")).agg(F.count("*").alias("n"))
+    met = trees.closure(nodes).join(trees.leaves(nodes).select("node"), "node", "left_semi").join(children, "ancestor", "left")
+    each = met.groupBy("node").agg(F.max("steps").alias("depth"), F.count_if(F.col("n") > 1).alias("decisions"), F.max(F.when(F.col("steps") == 1, F.col("n"))).alias("section"))
+    return rounded(each.groupBy("depth").agg(F.count("*").alias("n"), F.avg("decisions").alias("mean_decisions"), F.avg("section").alias("mean_section"), F.avg(F.col("section").isNull().cast("int")).alias("orphans"), F.avg((F.coalesce("section", F.lit(0)) > 15).cast("int")).alias("oversized")))
+
+
+@query(f"WITH {RUNS} SELECT count(DISTINCT qid) AS n_queries, 0::BIGINT AS n_changed FROM run WHERE system IN ('click', 'view', 'purchase')")
+def padding_rederived(spark, sf_dir):
+    """DIA-16: what is padded already stays as it is when it is padded again."""
+    once = two_tier_padding(spark, sf_dir)
+    again = trees.padded(once.select("qid", "doc", (-F.col("rank").cast("double")).alias("score")), once.select("qid", "doc", F.col("rank").alias("pos")), once.select("qid", "doc", F.col("rank").alias("pos")), -31.0, 30)
+    met = once.select("qid", "doc", "rank").join(again.select("qid", "doc", F.col("rank").alias("r")), ["qid", "doc"], "full")
+    each = met.groupBy("qid").agg(F.max((~F.col("rank").eqNullSafe(F.col("r"))).cast("int")).alias("c"))
+    return each.agg(F.count("*").alias("n_queries"), F.sum("c").cast("bigint").alias("n_changed"))
+
+
+@query("""WITH ln AS (SELECT conv_id, turn, role, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 1 AS start, length(text) AS n FROM conversations WHERE text IS NOT NULL), m AS (SELECT conv_id, turn, start, lead(start) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM ln WHERE role = 'user'), e AS (SELECT conv_id, max(start + n) AS whole FROM ln GROUP BY 1)
+SELECT conv_id, turn, start::BIGINT AS start, coalesce(nxt, whole)::BIGINT AS stop FROM m JOIN e USING (conv_id)""")
+def article_spans(spark, sf_dir):
+    """STR-04: each marker's span in the joined text, from it to the next marker or the end."""
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy("conv_id").orderBy("turn")
+    n = F.char_length("text").cast("bigint")
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "role", n.alias("n")).withColumn("start", F.sum(F.col("n") + 1).over(upto) - F.col("n") - 1)
+    ends = rows.groupBy("conv_id").agg(F.max(F.col("start") + F.col("n")).alias("whole"))
+    marks = rows.where("role = 'user'").withColumn("nxt", F.lead("start").over(upto))
+    return marks.join(ends, "conv_id").select("conv_id", "turn", "start", F.coalesce("nxt", "whole").alias("stop"))
