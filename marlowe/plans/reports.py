@@ -64,7 +64,7 @@ def cosine_weighted_recall(spark, sf_dir):
     return rounded(reports.weighted_recall(run_of(spark, sf_dir), gold_of(spark, sf_dir), 20))
 
 
-@query(f"WITH {RUNS}, s AS (SELECT DISTINCT system, qid FROM run), m AS (SELECT s.system, g.qid, rank FROM s JOIN gold g USING (qid) LEFT JOIN run r ON r.system = s.system AND r.qid = g.qid AND r.doc = g.doc) SELECT system, qid, count_if(rank <= 10)::BIGINT AS hits, count_if(rank > 10 AND rank <= 20)::BIGINT AS near_misses, count_if(rank IS NULL OR rank > 20)::BIGINT AS missed FROM m GROUP BY ALL")
+@query(f"WITH {RUNS}, s AS (SELECT DISTINCT system, qid FROM run), m AS (SELECT s.system, g.qid, rank FROM s JOIN gold g USING (qid) LEFT JOIN run r ON r.system = s.system AND r.qid = g.qid AND r.doc = g.doc) SELECT system, qid, count(*) FILTER (rank <= 10) AS hits, count(*) FILTER (rank > 10 AND rank <= 20) AS near_misses, count(*) FILTER (rank IS NULL OR rank > 20) AS missed FROM m GROUP BY ALL")
 def hit_near_miss(spark, sf_dir):
     """MET-37."""
     return reports.outcomes(run_of(spark, sf_dir), gold_of(spark, sf_dir), 10, 20)
