@@ -60,7 +60,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media.write_tiles(digested, folder).write.parquet(f"{folder}/index")
     tiled = media.read_tiles(spark.read.parquet(f"{folder}/index"), folder)
     feature = F.concat("dhash", F.lit(":"), F.substring(F.sha2("tile", 256), 1, 16))
-    return tiled.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "tile_file", "tile_at")
+    return tiled.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
