@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlowe.operators import stats
+
 CUTS = [1, 5, 10, 20, 100]
 
 
@@ -49,7 +51,9 @@ def rank_of_gold(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def latency(times: DataFrame, by: str, ms: str) -> DataFrame:
     """Mean, population deviation, extremes, interpolated percentiles and throughput of each group."""
-    return times.groupBy(by).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean_ms"), F.stddev_pop(ms).alias("std_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), *[F.percentile(ms, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)], (F.count(ms) / (F.sum(ms) / 1000)).alias("qps"))
+    base = times.groupBy(by).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean_ms"), F.stddev_pop(ms).alias("std_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), (F.count(ms) / (F.sum(ms) / 1000)).alias("qps"))
+    marks = stats.quantiles(times, ms, {f"p{p}": p / 100 for p in (50, 90, 95, 99)}, by).drop("n").withColumnRenamed(by, "_by")
+    return base.join(marks, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def graded(run: DataFrame, qrels: DataFrame, cuts: list[int] | None = None) -> DataFrame:
