@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlowe.llm import common, decontam, html, langid, media, mixing, pretokens, secrets, simhash, tokenfile, toxicity
+from marlowe.llm import align, common, decontam, html, impacts, langid, media, merkle, mixing, pretokens, secrets, simhash, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +81,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(common.pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    tampered = F.when(F.pmod(common.crc32_text(F.col("doc_id")), F.lit(2)) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    out = merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+    folded = merkle.fold(F.col("check"), F.col("proof"))
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html_text, op4_token_counts, op5_toxicity, op6_token_files, op7_media, op8_decontamination, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html_text, op4_token_counts, op5_toxicity, op6_token_files, op7_media, op8_decontamination, op9_secrets, op10_mixing, op11_exact_topk, op12_token_alignment, op13_merkle_manifest)}
 
 
 def secrets_sql(rules: secrets.Entropy = secrets.Entropy()) -> str:
@@ -162,5 +179,66 @@ FROM g JOIN y ON g.source IS NOT DISTINCT FROM y.source AND g.cls = y.cls
 LEFT JOIN special a ON a.source IS NOT DISTINCT FROM g.source AND a.draw = g.draw AND a.size = g.size"""
 
 
+def topk_sql(k: int = 10, every: int = 100, scale: int = 1024) -> str:
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])), 0)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % {every} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+def merkle_sql(depth: int = 24, over: int = 12) -> str:
+    """``depth`` and ``over`` levels are written out: enough for 3^24 rows a source and 3^12 sources."""
+
+    def part(value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+    def crc(value: str) -> str:
+        table = []
+        for x in range(256):
+            for _ in range(8):
+                x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+            table.append(x)
+        step = f"xor(c >> 8, list_extract({table}::BIGINT[], (xor(c, b) & 255) + 1))"
+        return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({value}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295::BIGINT)"
+
+    def tree(name: str, leaves: str, levels: int) -> str:
+        out = [f"{name}0 AS MATERIALIZED (SELECT tree, pos, n, h, ['']::VARCHAR[] AS kids FROM {leaves})"]
+        for i in range(levels):
+            out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT tree, pos // 3 AS pos, (n + 2) // 3 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h, list(h ORDER BY pos) AS kids FROM {name}{i} WHERE n > 1 GROUP BY tree, pos // 3, n)")
+        tops = " UNION ALL ".join(f"SELECT tree, h FROM {name}{i} WHERE n = 1" for i in range(levels + 1))
+        return ",\n".join([*out, f"{name}top AS MATERIALIZED ({tops})"])
+
+    def proofs(name: str, levels: int, top: str) -> str:
+        out = []
+        for i in reversed(range(levels + 1)):
+            root = f"SELECT x.tree, x.pos, t.proof FROM {name}{i} x JOIN {top} t ON x.tree = t.tree WHERE x.n = 1"
+            up = f"""
+ UNION ALL SELECT x.tree, x.pos, list_concat([{{'l': array_to_string(u.kids[:x.pos % 3], ''), 'r': array_to_string(u.kids[x.pos % 3 + 2:], '')}}], p.proof)
+ FROM {name}{i} x JOIN {name}{i + 1} u ON x.tree = u.tree AND x.pos // 3 = u.pos JOIN {name}p{i + 1} p ON x.tree = p.tree AND x.pos // 3 = p.pos WHERE x.n > 1""" if i < levels else ""
+            out.append(f"{name}p{i} AS MATERIALIZED ({root}{up})")
+        return ",\n".join(out)
+
+    text = "CASE WHEN " + crc("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+    head = " || ".join(part(f) for f in ("doc_id", "source", "lang", "n_chars"))
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS tree, sha256({head} || {part('text')}) AS h, sha256({head} || {part('tampered')}) AS checked
+  FROM (SELECT *, {text} AS tampered FROM documents)),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, checked) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{tree('a', 'leaves', depth)},
+sources AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree::BLOB) - 1 AS pos, count(*) OVER () AS n, h, tree AS source FROM atop),
+{tree('b', 'sources', over)},
+broot AS (SELECT tree, []::STRUCT(l VARCHAR, r VARCHAR)[] AS proof FROM btop),
+{proofs('b', over, 'broot')},
+aroot AS MATERIALIZED (SELECT s.source AS tree, p.proof FROM sources s JOIN bp0 p ON s.pos = p.pos),
+{proofs('a', depth, 'aroot')},
+out AS (SELECT l.doc_id, l.h AS leaf, t.h AS subroot, (SELECT h FROM btop) AS root, sha256(array_to_string(list_transform(p.proof, lambda x: x.l || x.r), '')) AS proof_sha256,
+  list_reduce(list_prepend({{'l': l.checked, 'r': ''}}, p.proof), lambda made, side: {{'l': sha256(side.l || made.l || side.r), 'r': ''}}).l AS folded_root
+  FROM leaves l JOIN atop t ON l.tree = t.tree JOIN ap0 p ON l.tree = p.tree AND l.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM out"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_secrets": secrets_sql(), "op10_mixing": mixing_sql()}
+    return {"op9_secrets": secrets_sql(), "op10_mixing": mixing_sql(), "op11_exact_topk": topk_sql(), "op13_merkle_manifest": merkle_sql()}
