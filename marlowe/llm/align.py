@@ -35,10 +35,33 @@ PAIR = 1 << 16
 FOUND = [("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()), ("n_links", T.LongType()), ("groups_sha256", T.StringType()), ("_pair", T.ArrayType(T.LongType())), ("_times", T.ArrayType(T.LongType()))]
 
 
+class Store:
+    """Lists of numbers end to end, looked up by their place."""
+
+    def __init__(self):
+        self.start, self.size, self.flat, self.n, self.end = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int64), 0, 0
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        while self.n + size.size > self.size.size:
+            self.start, self.size = np.resize(self.start, 2 * self.start.size), np.resize(self.size, 2 * self.size.size)
+        while self.end + flat.size > self.flat.size:
+            self.flat = np.resize(self.flat, 2 * self.flat.size)
+        self.flat[self.end : self.end + flat.size] = flat
+        self.size[self.n : self.n + size.size] = size
+        self.start[self.n : self.n + size.size] = self.end + np.cumsum(size) - size
+        self.n, self.end = self.n + size.size, self.end + flat.size
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The lists at ``places``, end to end."""
+        size = self.size[places]
+        end = size.cumsum()
+        return self.flat[np.repeat(self.start[places] - end + size, size) + np.arange(end[-1] if end.size else 0)]
+
+
 class Aligner:
-    """Aligns texts. ``most`` chunks of ``longest`` characters at most are kept; then the memory of them starts anew."""
+    """Aligns texts. ``most`` chunks of ``longest`` characters at most are kept between batches; then the memory of them starts anew."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 150_000, longest: int = 80):
+    def __init__(self, a_path: str, b_path: str, most: int = 500_000, longest: int = 80):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -46,10 +69,13 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         back = {chr(c): b for b, c in BYTES.items()}
-        vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
+        vocab = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        tokens = [vocab.get(i, "") for i in range(max(vocab) + 1)]
+        self.a_bytes = [bytes([back[c] for c in t]) if all(c in back for c in t) else t.encode() for t in tokens]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.shown = [str(i) for i in range(max(len(tokens), len(pieces)))]
         #: Chunks can stand alone if no piece of B goes on after a space and A splits by its pattern.
         self.local = not any(re.search("[^▁]▁", p) for p in pieces) and b'"use_regex":true' in self.a.pre_tokenizer.__getstate__().replace(b" ", b"")
         self.most, self.longest = most, longest
@@ -58,109 +84,86 @@ class Aligner:
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.text: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []
-        self.links: list[list[int]] = []
-
-    def spans(self, whole: str) -> tuple[list[int], list[int], list[tuple[int, int]]] | None:
-        """The ids of A and of B over ``whole``, which begins with a space, and the numbers of tokens in each group; None if the bytes differ."""
-        raw = whole.encode()
-        a = self.a.encode(whole, add_special_tokens=False).ids
-        b = self.b.encode(whole[1:])
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
+        self.sizes, self.links = Store(), Store()
+
+    def align(self, chunks: list[str]) -> bool:
+        """Aligns chunks, which begin with a space, as one text, and appends each one's outcome; False, and nothing appended, if a tokenizer doesn't give that text back."""
+        raw = "".join(chunks).encode()
+        a = np.array(self.a.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(raw[1:].decode()), np.int64)
+        a_list, b_list = a.tolist(), b.tolist()
+        if b"".join([self.a_bytes[i] for i in a_list]) != raw or b"".join([self.b_bytes[i] for i in b_list]) != raw:
+            return False
         label = np.zeros(len(raw), np.uint8)
-        label[np.cumsum([len(x) for x in a_bytes]) - 1] += 1
-        label[np.cumsum([len(x) for x in b_bytes]) - 1] += 2
-        shown = LABELS[label].tobytes()
-        groups = []
-        for found in SPAN.finditer(shown):
-            span = found.group()
-            both = span.count(b"x")
-            groups.append((span.count(b"a") + both, span.count(b"b") + both))
-        return a, b, groups
-
-    def linked(self, a: list[int], b: list[int]) -> list[int]:
-        """The links of a group: each inner end, of one side only as groups end at the common ones, starts a token that overlaps the other side's present one."""
-        if len(a) == 1 or len(b) == 1:
-            return [i * PAIR + j for i in a for j in b]
-        ends = sorted([(sum(len(self.a_bytes[i]) for i in a[: k + 1]), 0) for k in range(len(a) - 1)] + [(sum(len(self.b_bytes[i]) for i in b[: k + 1]), 1) for k in range(len(b) - 1)])
-        i = j = 0
-        out = [a[0] * PAIR + b[0]]
-        for _, side in ends:
-            i, j = i + (side == 0), j + (side == 1)
-            out.append(a[i] * PAIR + b[j])
-        return out
-
-    def align(self, whole: str) -> tuple[str, tuple[int, int, int, int], list[int]] | None:
-        """The groups in their text form, (n_a, n_b, n_groups, n_links), the links; None if a tokenizer doesn't give the text back."""
-        if (found := self.spans(whole)) is None:
-            return None
-        a, b, groups = found
-        i = j = 0
-        shown, links = [], []
-        for m, n in groups:
-            x, y = a[i : i + m], b[j : j + n]
-            shown.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            links += self.linked(x, y)
-            i, j = i + m, j + n
-        return ";".join(shown), (len(a), len(b), len(groups), len(links)), links
-
-    def chunks(self, text: str) -> list[str]:
+        label[self.a_size[a].cumsum() - 1] += 1
+        label[self.b_size[b].cumsum() - 1] += 2
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        if (label[ends - 1] != 3).any():
+            return False
+        groups, i, j = [], 0, 0
+        for span in SPAN.findall(LABELS[label[label > 0]].tobytes()):  # inner bytes, of no end, say nothing here
+            if span == b"x":
+                groups.append(f"{self.shown[a_list[i]]}|{self.shown[b_list[j]]}")
+                i, j = i + 1, j + 1
+            else:
+                both = span.count(b"x")
+                m, n = i + span.count(b"a") + both, j + span.count(b"b") + both
+                groups.append(f"{','.join([self.shown[x] for x in a_list[i:m]])}|{','.join([self.shown[x] for x in b_list[j:n]])}")
+                i, j = m, n
+        # every byte that ends a token is one link: of the tokens of A and of B that it lies in
+        upto = [np.cumsum(x) for x in ((label & 1) > 0, label > 1, label == 3, label > 0)]
+        at = np.flatnonzero(label)
+        links = a[upto[0][at] - (label[at] & 1)] * PAIR + b[upto[1][at] - (label[at] > 1)]
+        counts = np.stack([np.diff(x[ends - 1], prepend=0) for x in upto], 1)
+        edges = [0, *upto[2][ends - 1].tolist()]
+        self.text += [";".join(groups[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+        self.sizes.add(counts.ravel(), np.full(len(chunks), 4))
+        self.links.add(links, counts[:, 3])
+        return True
+
+    def chunks(self, text: str | None) -> list[str]:
+        if not text:
+            return []
         whole = " " + text
         if not self.local or "▁" in text:
             return [whole]
-        parts = CUT.split(whole) if UNEVEN.search(whole) else whole[1:].split(" ")
+        parts = CUT.split(whole) if UNEVEN.search(whole) else text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]] if parts[0][:1] == " " else [" " + p for p in parts]
 
-    def codes(self, text: str | None) -> list[int] | None:
-        """The numbers of a text's chunks, new ones aligned; None if it has no tokens."""
-        if not text:
-            return None
-        parts, out = self.chunks(text), []
-        known = self.code.get
-        for p in parts:
-            if (c := known(p)) is None:
-                if (found := self.align(p)) is None:
-                    # of a text that isn't given back nothing counts, however its chunks are cut
-                    found = self.align(" " + text)
-                    if found is None:
-                        return None
-                    return [self.keep(None, found)]
-                c = self.keep(p if len(p) <= self.longest else None, found)
-            out.append(c)
-        return out
-
-    def keep(self, chunk: str | None, found: tuple) -> int:
-        self.text.append(found[0])
-        self.sizes.append(found[1])
-        self.links.append(found[2])
-        if chunk is not None:
-            self.code[chunk] = len(self.text) - 1
-        return len(self.text) - 1
+    def learn(self, bags: list[list[str]]) -> dict[str, int]:
+        """The numbers of all chunks of a batch; those that a tokenizer doesn't give back have -1."""
+        known, passing = self.code, {}
+        new = [c for c in dict.fromkeys([c for bag in bags for c in bag]) if c not in known]
+        short, long = [c for c in new if len(c) <= self.longest], [c for c in new if len(c) > self.longest]
+        first = len(self.text)
+        if short and self.align(short):
+            known.update(zip(short, range(first, first + len(short)), strict=True))
+        else:
+            long = new
+        for c in long:
+            passing[c] = len(self.text) if self.align([c]) else -1
+        return passing
 
     def rows(self, texts: list[str | None]) -> list[pa.Array]:
         """The columns of FOUND for a batch of texts."""
         if len(self.text) > self.most:
             self.forget()
-        size, sha, pair, times = np.zeros((len(texts), 4), np.int64), [], [], []
-        for i, t in enumerate(texts):
-            codes = self.codes(t)
-            if codes is None:
-                sha.append("")
-                pair.append(np.zeros(0, np.int64))
-                times.append(np.zeros(0, np.int64))
-                continue
-            size[i] = np.array([self.sizes[c] for c in codes]).sum(0)
-            sha.append(hashlib.sha256(";".join([self.text[c] for c in codes]).encode()).hexdigest())
-            links = [x for c in codes for x in self.links[c]]
-            p, n = np.unique(np.array(links, np.int64), return_counts=True)
-            pair.append(p)
-            times.append(n)
-            if len(self.text) > 2 * self.most:
-                self.forget()
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in pair])]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))) for x in (pair, times)]
+        bags = [self.chunks(t) for t in texts]
+        passing = self.learn(bags)
+        known, codes, sha = self.code, [], []
+        for i, bag in enumerate(bags):
+            mine = [known[c] if c in known else passing[c] for c in bag]
+            if -1 in mine:  # of a text that isn't given back nothing counts, however its chunks are cut
+                mine = [len(self.text)] if self.align([" " + texts[i]]) else []
+            codes.append(mine)
+            sha.append(hashlib.sha256(";".join([self.text[c] for c in mine]).encode()).hexdigest() if mine else "")
+        flat = np.array([c for mine in codes for c in mine], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(mine) for mine in codes])
+        size = np.zeros((len(texts), 4), np.int64)
+        np.add.at(size, row, self.sizes.of(flat).reshape(-1, 4))
+        pair, times = np.unique(np.repeat(row, self.links.size[flat]) * PAIR**2 + self.links.of(flat), return_counts=True)
+        ends = np.append(0, np.bincount(pair // PAIR**2, minlength=len(texts)).cumsum()).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (pair % PAIR**2, times)]
         return [*[pa.array(size[:, k]) for k in range(4)], pa.array(sha, pa.string()), *lists]
 
 
