@@ -141,7 +141,7 @@ class Aligner:
         else:
             long = new
         for c in long:
-            passing[c] = len(self.text) if self.align([c]) else -1
+            passing[c] = len(self.text) - 1 if self.align([c]) else -1
         return passing
 
     def rows(self, texts: list[str | None]) -> list[pa.Array]:
@@ -154,7 +154,7 @@ class Aligner:
         for i, bag in enumerate(bags):
             mine = [known[c] if c in known else passing[c] for c in bag]
             if -1 in mine:  # of a text that isn't given back nothing counts, however its chunks are cut
-                mine = [len(self.text)] if self.align([" " + texts[i]]) else []
+                mine = [len(self.text) - 1] if self.align([" " + texts[i]]) else []
             codes.append(mine)
             sha.append(hashlib.sha256(";".join([self.text[c] for c in mine]).encode()).hexdigest() if mine else "")
         flat = np.array([c for mine in codes for c in mine], np.int64)
