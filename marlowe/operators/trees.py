@@ -7,22 +7,30 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlowe.sources.writers import kept
+
 
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's parent."""
     return nodes.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
 
 
-def closure(nodes: DataFrame, most: int = 32) -> DataFrame:
-    """(node, ancestor, steps), a node its own at 0, up to ``most`` steps or as many as the tree has; pointers double each round."""
-    up = nodes.where("parent IS NOT NULL").select("node", "parent")
-    out = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
-    level = out
-    for k in range(1, most + 1):
-        level = level.join(up.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(k).alias("steps"))
-        if level.limit(1).count() == 0:
-            break
-        out = out.unionByName(level)
+def closure(nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, steps) for all ancestors of each node, a node its own at 0; trees of any depth.
+
+    Rounds double the reach: what lies under 2^k steps is joined to the ancestors at exactly 2^k, and both tables are written, so
+    a tree of depth d takes about log2 d rounds. A parent that isn't a node is an ancestor and ends the way. A cycle is a ValueError.
+    """
+    jump = kept(nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor")), "jump")
+    out, reach, most = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")), 1, None
+    while not jump.isEmpty():
+        most = most or nodes.count()
+        if reach > most:
+            raise ValueError("the parents have a cycle")
+        further = jump.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_to"))
+        out = kept(out.unionByName(out.join(further, "ancestor").select("node", F.col("_to").alias("ancestor"), (F.col("steps") + reach).alias("steps"))), "closure")
+        jump = kept(jump.join(further, "ancestor").select("node", F.col("_to").alias("ancestor")), "jump")
+        reach *= 2
     return out
 
 

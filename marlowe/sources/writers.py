@@ -87,6 +87,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and goes on from there, so that later plans don't repeat what led to it."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def build_table(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Writes a table whose files are ranges of the keys, sorted within, so that scans for a key skip files and row groups; rereads it."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(folder)
