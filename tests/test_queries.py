@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from marlowe.plans import agents, analysis, articles, corpus, evaluation, navigation, panels, ranking, registry, reports, storage, trees, walks  # noqa: F401
+from marlowe.plans import agents, analysis, articles, corpus, evaluation, layout, navigation, panels, ranking, registry, reports, storage, trees, walks  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [n for n, f in registry.QUERIES.items() if f.__module__.endswith(("agents", "analysis", "articles", "corpus", "evaluation", "navigation", "panels", "ranking", "reports", "storage", "trees", "walks"))]
+NAMES = [n for n, f in registry.QUERIES.items() if f.__module__.endswith(("agents", "analysis", "articles", "corpus", "evaluation", "layout", "navigation", "panels", "ranking", "reports", "storage", "trees", "walks"))]
 
 
 @pytest.fixture(scope="module")
