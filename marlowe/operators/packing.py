@@ -1,78 +1,12 @@
-"""Order-sensitive text work: greedy chunks of sentences and paragraphs, first sentences, enrichment and truncation."""
+"""Enrichment of texts within a budget of words."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlowe.operators.retrieve import let
 
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: Abbreviations that end no sentence.
-ABBREVIATIONS = frozenset("art al cf ex p pp par no m mm mme etc c.-à-d".split())
-
-
-def packed(parts: list[str], most: int, joint: str) -> list[str]:
-    """Parts joined from left to right while they fit ``most`` characters; a longer part stands alone."""
-    out: list[str] = []
-    for p in parts:
-        if out and len(out[-1]) + len(joint) + len(p) <= most:
-            out[-1] += joint + p
-        else:
-            out.append(p)
-    return out
-
-
-def chunks_of(text: str | None, most: int = 800) -> list[str]:
-    """Paragraphs packed to ``most`` characters; a longer paragraph is packed from its sentences."""
-    out: list[str] = []
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text or "")):
-        if p:
-            out += [p] if len(p) <= most else packed(SENTENCE.split(p), most, " ")
-    return packed(out, most, "\n\n")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def recursive_chunks(text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([chunks_of(t, int(m)) for t, m in zip(text, most, strict=True)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentence_groups(text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([packed([s for s in SENTENCE.split((t or "").strip()) if s], int(m), " ") for t, m in zip(text, most, strict=True)])
-
-
-def first_sentence_of(text: str | None) -> str:
-    """Up to the first stop that follows no abbreviation; the whole text without one."""
-    text = (text or "").strip()
-    for m in SENTENCE.finditer(text):
-        if text[: m.start()].split()[-1].rstrip(".!?").lower() not in ABBREVIATIONS:
-            return text[: m.start()]
-    return text
-
-
-def summary_of(text: str | None, least: int = 80, most: int = 240) -> str:
-    """Sentences until ``least`` characters, cut at a word to ``most`` with an ellipsis."""
-    parts = SENTENCE.split(" ".join((text or "").split()))
-    head, i = parts[0], 1
-    while len(head) < least and i < len(parts):
-        head, i = f"{head} {parts[i]}", i + 1
-    return head[:most].rsplit(" ", 1)[0] + "…" if len(head) > most else head
-
-
-@F.pandas_udf(T.StringType())
-def first_sentence(text: pd.Series) -> pd.Series:
-    return text.map(first_sentence_of)
-
-
-@F.pandas_udf(T.StringType())
-def summary(text: pd.Series) -> pd.Series:
-    return text.map(summary_of)
-
 
 def truncated(path: Column, terms: Column, digest: Column, body: Column, most: int) -> Column:
     """struct<text, step>: path, terms, summary and body while all fit ``most`` words; path, then terms, then the summary go, then the body's tail."""

@@ -58,17 +58,6 @@ def test_loop_keeps_the_most_confident_round(spark):
     assert (stats["n_queries"], round(stats["at_once"], 3), round(stats["corrected"], 3), round(stats["never"], 3), stats["mean_rounds"]) == (3, 0.333, 0.333, 0.333, 2.0)
 
 
-def test_packing(spark):
-    assert packing.packed(["aa", "bb", "c", "ddddd"], 5, " ") == ["aa bb", "c", "ddddd"]
-    assert packing.chunks_of("One two. Three four.\n\nFive.\n\n\nSix seven eight.", 12) == ["One two.", "Three four.", "Five.", "Six seven eight."]
-    assert packing.chunks_of(None) == packing.chunks_of("") == []
-    assert packing.first_sentence_of("Selon art. 5 du code. Puis rien.") == "Selon art. 5 du code."
-    assert packing.summary_of("Court. " + "mot " * 100, most=20) == "Court. mot mot mot…" and packing.summary_of(None) == ""
-    df = spark.createDataFrame([("A b. C d e. F.",), (None,)], "t STRING")
-    assert [r[0] for r in df.select(packing.sentence_groups("t", F.lit(11))).collect()] == [["A b. C d e.", "F."], []]
-    assert [r[0] for r in df.select(packing.first_sentence("t")).collect()] == ["A b.", ""]
-
-
 def test_kendall_and_pairs(spark):
     df = spark.createDataFrame([("g", 1, 1), ("g", 2, 3), ("g", 3, 2), ("g", 4, 4), ("h", 1, 1), ("h", 1, 2)], "g STRING, x INT, y INT")
     assert {r["g"]: r["tau"] and round(r["tau"], 6) for r in reports.kendall(df, "x", "y", "g").collect()} == {"g": 0.666667, "h": None}

@@ -1,16 +1,35 @@
 """Hand-checked citations, resolution steps, titles and keys."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from marlowe.functions import text as tx
 from marlowe.operators import articles as art
 
 
-def test_citations_and_overlaps():
+def test_citations_and_overlaps(spark):
     text = "Selon l'article 3 de la loi, les articles 12 à 15 et art. L4-2, du présent titre; l’article précédent."
-    assert [(raw, no, rel) for _, _, raw, no, rel in art.cited(text)] == [("l'article 3 de la loi", "3", False), ("articles 12 à 15", "12", False), ("art. L4-2", "L4-2", False), ("du présent titre", None, True), ("l’article précédent", None, True)]
-    assert art.cited(None) == art.cited("") == art.cited("rien") == []
-    assert art.apart([(0, 5), (0, 9), (4, 6), (9, 10)]) == [(0, 9), (9, 10)]
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "rien"), (5, "art. 7bis art 8")], "id INT, text STRING")
+    got = sorted((r["id"], r["pos"], r["raw"], r["article_no"], r["is_relative"]) for r in art.citations(df).collect())
+    want = [("l'article 3 de la loi", "3", False), ("articles 12 à 15", "12", False), ("art. L4-2", "L4-2", False), ("du présent titre", None, True), ("l’article précédent", None, True)]
+    assert got == [(1, k, *w) for k, w in enumerate(want)] + [(5, 0, "art. 7bis", "7bis", False), (5, 1, "art 8", "8", False)]
+    assert all(text[r["start"] : r["end"]] == r["raw"] for r in art.citations(df.where("id = 1")).collect())
+
+
+def test_overlapping_spans(spark):
+    """Against a greedy choice of the next free span, over all orders of a few."""
+    rng = random.Random(2)
+    rows = [(i, [(rng.randint(0, 12), rng.randint(0, 6), k) for k in range(rng.randint(0, 7))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i INT, s ARRAY<STRUCT<start:INT,size:INT,k:INT>>")
+    for r in df.select("i", "s", art.disjoint(F.col("s")).alias("d")).collect():
+        left, want, free = [tuple(x) for x in r["s"]], [], 0
+        while left := [x for x in left if x[0] >= free]:
+            best = min(left, key=lambda x: (x[0], -x[1], x[2]))
+            want.append(best)
+            left.remove(best)
+            free = best[0] + best[1]
+        assert [tuple(x) for x in r["d"]] == want
 
 
 def test_resolution_steps(spark):
