@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlowe.functions import text as tx
-from marlowe.operators import etl, structure
+from marlowe.operators import contain, etl, structure
 from marlowe.plans.ranking import QRELS, TOK, qrels, rounded
 from marlowe.plans.registry import query, table
 
@@ -80,16 +80,15 @@ def gt_anchored_dedup(spark, sf_dir):
 h AS (SELECT n.item_id, n.needle, max(contains(d.text, n.needle)::INT) AS found, FROM n CROSS JOIN documents d GROUP BY ALL), w AS (SELECT b.item_id, max(contains(d.text, b.text)::INT) AS whole FROM benchmark b CROSS JOIN documents d GROUP BY ALL)
 SELECT h.item_id, count(*) AS n_needles, sum(found)::BIGINT AS n_found, CASE WHEN any_value(whole) = 1 THEN 'IN_TEXT' WHEN sum(found) > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS status FROM h JOIN w USING (item_id) GROUP BY h.item_id""")
 def drift_status(spark, sf_dir):
-    """Items are a stated query set: their needles meet every document as one broadcast array, and only hits leave the scan."""
-    items = table(spark, sf_dir, "benchmark")
-    if items.count() > 20_000:
-        raise ValueError("deal the items in blocks")
-    n = items.select("item_id", F.col("text").alias("whole"), F.explode(etl.needles(F.col("text"))).alias("needle"))
-    probes = n.select("item_id", F.col("needle").alias("p"), F.lit(False).alias("all")).unionByName(items.select("item_id", F.col("text").alias("p"), F.lit(True).alias("all")))
-    every = probes.agg(F.collect_list(F.struct("item_id", "p", "all")).alias("probes"))
-    met = table(spark, sf_dir, "documents").select("text").crossJoin(F.broadcast(every))
-    hits = met.select(F.explode(F.filter("probes", lambda x: F.contains(F.col("text"), x["p"]))).alias("x")).select("x.*").distinct()
-    found = hits.groupBy("item_id").agg(F.count_if(~F.col("all")).alias("n_found"), F.max("all").alias("whole"))
+    """ETL-28: items whose whole text, or some of whose needles, a document holds; any number of items."""
+    return drift(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def drift(docs, items):
+    n = items.select("item_id", F.explode(etl.needles(F.col("text"))).alias("p")).withColumn("probe", F.struct("item_id", F.lit(False).alias("all"), F.col("p").alias("needle")))
+    whole = items.select("item_id", F.col("text").alias("p")).withColumn("probe", F.struct("item_id", F.lit(True).alias("all"), F.lit("").alias("needle")))
+    hits = contain.holders(docs, n.select("probe", "p").unionByName(whole.select("probe", "p"))).select("probe").distinct()
+    found = hits.groupBy("probe.item_id").agg(F.count_if(~F.col("probe.all")).alias("n_found"), F.max("probe.all").alias("whole"))
     out = n.groupBy("item_id").agg(F.count("*").alias("n_needles")).join(found, "item_id", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
     return out.select("item_id", "n_needles", "n_found", F.when(F.coalesce("whole", F.lit(False)), "IN_TEXT").when(F.col("n_found") > 0, "PARTIAL").otherwise("MISSING").alias("status"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlowe.functions import text as tx
-from marlowe.operators import fuse, metrics, retrieve, stats
+from marlowe.operators import contain, fuse, metrics, retrieve, stats
 from marlowe.plans.registry import query, spread, table
 
 TOK = f"regexp_extract_all(lower({{}}), '{tx.TOKEN}')"
@@ -59,33 +59,10 @@ class Base:
         return qrels(self.docs, self.items)
 
 
-#: Items that meet the documents at a time.
-ITEMS_AT_ONCE = 20_000
-
-
-def qrels(docs: DataFrame, items: DataFrame, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """Binary judgements: the document holds the whole item, in lower case.
-
-    A document that holds an item has the item's inner tokens, so it is compared only with items whose longest inner
-    token it has; items of fewer than three tokens have none and are compared with all. The items are the stated
-    query set, broadcast as arrays in blocks of about ``at_once``.
-    """
-    blocks = max(1, -(-items.count() // at_once))
-    t = tx.tokens(F.col("text"))
-    inner = F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0)))
-    keyed = items.where("text IS NOT NULL").select(F.struct(F.col("item_id").alias("qid"), F.lower("text").alias("q")).alias("item"), F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("term")))).getField("term").alias("term"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
-    rows, out = docs.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("t"), tx.tokens(F.col("text")).alias("tokens")), None
-    for k in range(blocks):
-        mine = keyed.where(F.col("block") == k)
-        by_term = mine.where("term IS NOT NULL").groupBy("term").agg(F.collect_list("item").alias("items"))
-        every = by_term.agg(F.map_from_entries(F.collect_list(F.struct("term", "items"))).alias("by_term"), F.collect_list("term").alias("terms"))
-        short = mine.where("term IS NULL").agg(F.collect_list("item").alias("short"))
-        met = rows.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(short))  # one row each
-        tried = F.concat(F.flatten(F.transform(F.array_intersect("tokens", "terms"), lambda x: F.element_at("by_term", x))), "short")
-        found = met.select("doc_id", F.explode(F.filter(tried, lambda x: F.contains(F.col("t"), x["q"]))).alias("x"))
-        found = found.select(F.col("x.qid").alias("qid"), "doc_id", F.lit(1).alias("grade"))
-        out = found if out is None else out.unionByName(found)
-    return out
+def qrels(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Binary judgements (qid, doc_id, grade): the document holds the whole item, in lower case."""
+    found = contain.holders(docs.select("doc_id", F.lower("text").alias("text")), items.select(F.col("item_id").alias("probe"), F.lower("text").alias("p")))
+    return found.select(F.col("probe").alias("qid"), "doc_id", F.lit(1).alias("grade"))
 
 
 def shown(run: DataFrame) -> DataFrame:

@@ -79,11 +79,11 @@ def result_records(spark, sf_dir):
     return writers.result_json(rows).select(F.get_json_object("value", "$._trec_id").cast("bigint").alias("r_regionkey"), "value")
 
 
-@query("SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS level FROM events WHERE event_id < 500")
+@query("SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS level FROM events")
 def concatenated_json_scan(spark, sf_dir):
     """SRC-05: objects one after the other, numbers in typed wrappers, NaN as null."""
     folder = writers.scratch(spark, "objects")
-    e = table(spark, sf_dir, "events").where("event_id < 500")
+    e = table(spark, sf_dir, "events")
     level = F.when(F.col("event_id") % 5 == 0, F.lit("NaN")).otherwise((F.col("event_id") % 5).cast("string"))
     e.select(F.concat(F.lit('{"event_id": {"$numberLong": "'), "event_id", F.lit('"}, "user_id": '), "user_id", F.lit(', "level": '), level, F.lit("}"))).write.text(folder)
     return readers.concatenated_json(spark, folder, "event_id BIGINT, user_id BIGINT, level BIGINT")
@@ -109,11 +109,11 @@ def judgement_files(spark, sf_dir):
     return readers.judgements(spark, folder).select("qid", F.array_join("ids", ",").alias("ids"))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS arm FROM customer WHERE c_custkey < 200")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS arm FROM customer")
 def latest_records(spark, sf_dir):
     """SRC-12 and 17: of records with one key the last file's stays."""
     folder = writers.scratch(spark, "records")
-    c = table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     c.withColumn("arm", F.lit("first")).write.json(f"{folder}/run-1")
     c.where("id % 3 = 0").withColumn("arm", F.lit("second")).write.json(f"{folder}/run-2")
     rows = spark.read.schema("id BIGINT, arm STRING").json(f"{folder}/*").withColumn("_run", F.regexp_extract(F.input_file_name(), r"/run-(\d+)/", 1).cast("int"))
