@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,17 +122,22 @@ def group_key() -> Column:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds number, from 1, among the rows of a group, by a hash of all columns; equal rows come in any order.
+    """Adds number, from 1, among the rows of a group, by the whole hash of all columns; rows that are equal in all come in any order.
 
-    A group may be a large part of all rows, so it is numbered in pieces, by that hash and by the input's partitions.
+    A group may be a large part of all rows, so it is numbered in pieces of a 256th of its hashes, and equal rows in
+    pieces by the input's partitions: no order but that of equal rows depends on these.
     """
-    whole = F.xxhash64(*rows.columns)
-    placed = common.cut(rows.withColumn("_hash", whole).withColumn("_piece", F.struct(F.shiftrightunsigned("_hash", 56).alias("h"), F.spark_partition_id().alias("p"))))
-    counts = placed.groupBy("s", "d", "z", "_piece").agg(F.count("*").alias("_rows"))  # partitions x 256 rows a group at most
-    before = Window.partitionBy("s", "d", "z").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("s").alias("_s"), F.col("d").alias("_d"), F.col("z").alias("_z"), F.col("_piece").alias("_q"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("s", "d", "z", "_piece").orderBy("_hash")))
-    met = local.join(starts, F.col("s").eqNullSafe(F.col("_s")) & (F.col("d") == F.col("_d")) & (F.col("z") == F.col("_z")) & (F.col("_piece") == F.col("_q")))
+    keys = ["s", "d", "z"]
+    placed = common.cut(rows.withColumn("_hash", F.xxhash64(*rows.columns)).withColumns({"_byte": F.shiftrightunsigned("_hash", 56), "_part": F.spark_partition_id()}))
+    counts = placed.groupBy(*keys, "_byte", "_hash", "_part").agg(F.count("*").alias("_rows"))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_rows").over(upto(*keys, "_byte").orderBy("_hash", "_part")), F.lit(0))
+    bytes_ = counts.groupBy(*keys, "_byte").agg(F.sum("_rows").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(upto(*keys).orderBy("_byte")), F.lit(0)))  # 256 rows a group at most
+    same = lambda *by: F.col("s").eqNullSafe(F.col("_s")) & reduce(lambda a, c: a & (F.col(c) == F.col(f"_{c}_")), by, F.lit(True))
+    known = lambda df, *by: df.select(F.col("s").alias("_s"), *[F.col(c).alias(f"_{c}_") for c in by], *[c for c in df.columns if c not in ("s", *by)])
+    starts = counts.withColumn("_inside", inside).join(known(bytes_, "d", "z", "_byte"), same("d", "z", "_byte")).select(*keys, "_hash", "_part", (F.col("_before") + F.col("_inside")).alias("_start"))
+    local = placed.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_hash", "_part").orderBy("_byte")))
+    met = local.join(known(starts, "d", "z", "_hash", "_part"), same("d", "z", "_hash", "_part"))
     return met.withColumn("number", F.col("_start") + F.col("_at")).select(*rows.columns, "number")
 
 

@@ -398,3 +398,18 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert stage(spark, mixed.limit(0), sf).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, mixed, sf).count() == mixed.count()
     assert corpus_pipeline.STAGES[-1][1](spark, mixed.limit(0), sf).count() == 0
+
+
+def test_numbers_within_a_group_dont_depend_on_partitions(spark):
+    """Rows equal in source, draw and size but not elsewhere keep their numbers however the input is dealt; equal rows share a run of numbers."""
+    rows = [(None if i % 3 == 0 else "a", 0.5, i % 2, f"x{i % 50}") for i in range(400)]
+    seen = []
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "s STRING, d DOUBLE, z INT, other STRING").repartition(parts)
+        got = mixing.numbered(df).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault((r["s"], r["z"]), []).append((r["number"], r["other"]))
+        assert all([n for n, _ in sorted(g)] == list(range(1, len(g) + 1)) for g in groups.values()) and len(got) == 400
+        seen.append({k: [x for _, x in sorted(g)] for k, g in groups.items()})
+    assert seen[0] == seen[1] == seen[2]
