@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlowe.operators import stats
+from marlowe.operators.inference import POISSON
 from marlowe.plans.ranking import SCORES, Base, cells, rounded, scores, units
 from marlowe.plans.registry import query, table
 
@@ -209,9 +210,6 @@ def stratified_metrics(spark, sf_dir):
 
 
 DRAW = "('0x' || substr(md5(b::VARCHAR || ':' || user_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0"
-#: Upper ends of the Poisson(1) distribution function, as an exact-enough CASE in both engines.
-POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]
-
 
 def copies(u: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {p} THEN {i}" for i, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
