@@ -211,6 +211,7 @@ def stratified_metrics(spark, sf_dir):
 
 DRAW = "('0x' || substr(md5(b::VARCHAR || ':' || user_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0"
 
+
 def copies(u: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {p} THEN {i}" for i, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
 
