@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from marlowe.plans import agents, analysis, articles, corpus, correction, evaluation, inference, layout, navigation, panels, passages, ranking, registry, reports, stemming, storage, trees, walks  # noqa: F401
+from marlowe.plans import agents, analysis, articles, corpus, correction, evaluation, inference, layout, locating, navigation, panels, passages, ranking, registry, reports, stemming, storage, trees, walks  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [n for n, f in registry.QUERIES.items() if n in registry.SQL and f.__module__.endswith(("agents", "analysis", "articles", "corpus", "correction", "evaluation", "inference", "layout", "navigation", "panels", "passages", "ranking", "reports", "stemming", "storage", "trees", "walks"))]
+NAMES = [n for n, f in registry.QUERIES.items() if n in registry.SQL and f.__module__.endswith(("agents", "analysis", "articles", "corpus", "correction", "evaluation", "inference", "layout", "locating", "navigation", "panels", "passages", "ranking", "reports", "stemming", "storage", "trees", "walks"))]
 
 
 @pytest.fixture(scope="module")
