@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlowe.operators import locate
+from marlowe.functions import text as tx
+from marlowe.operators import anchors, locate
 from marlowe.plans.registry import query, table
 
 NO = "o_orderkey % 9 || CASE WHEN o_orderkey % 5 = 0 THEN 'Bis' ELSE '' END"
@@ -47,3 +48,20 @@ def own_text_links(spark, sf_dir):
     rows = lines(spark, sf_dir).withColumn("node", F.floor(F.col("k") / 64)).withColumn("line", F.concat(F.lit("## "), F.col("line")))
     out = locate.own_links(joined(rows, "node").withColumn("label", F.lit("Section")), articles(spark, sf_dir))
     return out.select("doc", "node", F.array_join(F.transform("articles", lambda x: x.cast("string")), ",").alias("articles"), F.array_join("numbers", ",").alias("numbers"))
+
+
+TALK = """tx AS (SELECT conv_id AS doc, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1),
+ar AS (SELECT conv_id AS doc, turn, CASE WHEN turn % 5 = 1 THEN replace(text, ' ', '  ') WHEN turn % 7 = 3 THEN 'zz' || text ELSE text END AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE text IS NOT NULL)"""
+TOKENS = "len(regexp_extract_all(lower({}), '" + tx.TOKEN + "'))"
+
+
+@query(f"""WITH RECURSIVE {TALK}, s AS (SELECT doc, 0::BIGINT AS i, 0::BIGINT AS frm, NULL::BIGINT AS place, 0::BIGINT AS turn, '' AS a FROM tx UNION ALL
+SELECT doc, i, CASE WHEN place >= 0 THEN place + length(a) ELSE frm END, place, turn, a FROM (SELECT *, CASE WHEN exact > 0 THEN frm + exact - 1 WHEN near > 0 THEN frm + near - 1 ELSE -1 END AS place FROM (
+SELECT s.doc, ar.i, s.frm, ar.turn, ar.a, strpos(substr(text, s.frm + 1), substr(ar.a, 1, 100)) AS exact, strpos(trim(regexp_replace(substr(text, s.frm + 1), '\\s+', ' ', 'g')), trim(regexp_replace(substr(ar.a, 1, 100), '\\s+', ' ', 'g'))) AS near FROM s JOIN ar ON ar.doc = s.doc AND ar.i = s.i + 1 JOIN tx ON tx.doc = s.doc)))
+SELECT doc, turn AS article, place, {TOKENS.format('substr(text, 1, place)')} AS start_token, {TOKENS.format('substr(text, 1, place)')} + {TOKENS.format('a')} AS end_token FROM s JOIN tx USING (doc) WHERE place >= 0""")
+def anchored_ranges(spark, sf_dir):
+    """STR-07: a conversation's turns as articles of their joined text, some with other white space and some that it doesn't hold."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("doc"), F.col("turn").cast("bigint").alias("k"), F.col("text").alias("line"))
+    text = F.when(F.col("k") % 5 == 1, F.replace("line", F.lit(" "), F.lit("  "))).when(F.col("k") % 7 == 3, F.concat(F.lit("zz"), F.col("line"))).otherwise(F.col("line"))
+    out = anchors.token_ranges(joined(c), c.select("doc", F.col("k").alias("pos"), F.col("k").alias("article"), text.alias("text")))
+    return out.withColumnRenamed("at", "place").select("doc", "article", *[F.col(n).cast("bigint").alias(n) for n in ("place", "start_token", "end_token")])
