@@ -319,11 +319,31 @@ v AS (SELECT w1, w2, w3, system, round(w1 * a + w2 * b + w3 * c, 9) AS x, target
 c AS (SELECT w1, w2, w3, round(corr(rx, ry), 6) AS rho FROM r GROUP BY ALL) SELECT w1, w2, w3, rho FROM c WHERE rho IS NOT NULL ORDER BY rho DESC, w1, w2, w3 LIMIT 1""")
 def weight_fit(spark, sf_dir):
     """STA-27: the weights on a grid of 0.05 whose mix ranks the systems most like the target; the first of equal ones. The report is one row."""
+    return agreed(mixes(spark, sf_dir)).orderBy(F.col("rho").desc(), "w1", "w2", "w3").limit(1).select("w1", "w2", "w3", "rho")
+
+
+def mixes(spark, sf_dir) -> DataFrame:
+    """(system, target, w1, w2, w3, x): each system's mix x under each weights of the grid."""
     s = scored(spark, sf_dir).where("k = 10").groupBy("system").agg(*[F.round(F.avg(n), 6).alias(a) for n, a in (("precision", "a"), ("recall", "b"), ("rr", "c"), ("ndcg", "target"))])
     grid = spark.range(21).select(F.col("id").alias("i")).join(spark.range(21).select(F.col("id").alias("j")), F.col("i") + F.col("j") <= 20).select((F.col("i") / 20).alias("w1"), (F.col("j") / 20).alias("w2"), ((20 - F.col("i") - F.col("j")) / 20).alias("w3"))
-    cells = s.join(F.broadcast(grid)).withColumn("x", F.round(F.col("w1") * F.col("a") + F.col("w2") * F.col("b") + F.col("w3") * F.col("c"), 9))  # 231 rows of weights
-    rho = rounded(stats.spearman(cells, "x", "target", "w1", "w2", "w3")).where("rho IS NOT NULL")
-    return rho.orderBy(F.col("rho").desc(), "w1", "w2", "w3").limit(1).select("w1", "w2", "w3", "rho")
+    return s.join(F.broadcast(grid)).withColumn("x", F.round(F.col("w1") * F.col("a") + F.col("w2") * F.col("b") + F.col("w3") * F.col("c"), 9))  # 231 rows of weights
+
+
+def agreed(cells: DataFrame, *by: str) -> DataFrame:
+    return rounded(stats.spearman(cells, "x", "target", *by, "w1", "w2", "w3")).where("rho IS NOT NULL")
+
+
+@query(f"""WITH {PER_QUERY}, s AS (SELECT system, round(avg(precision), 6) AS a, round(avg(recall), 6) AS b, round(avg(rr), 6) AS c, round(avg(ndcg), 6) AS target FROM pq WHERE k = 10 GROUP BY system), {GRID},
+v AS (SELECT w1, w2, w3, system, round(w1 * a + w2 * b + w3 * c, 9) AS x, target AS y FROM s, g), h AS (SELECT v.*, o.system AS fold FROM v JOIN (SELECT system FROM s UNION ALL SELECT NULL) o ON o.system IS DISTINCT FROM v.system),
+r AS (SELECT fold, w1, w2, w3, rank() OVER (PARTITION BY fold, w1, w2, w3 ORDER BY x) + (count(*) OVER (PARTITION BY fold, w1, w2, w3, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY fold, w1, w2, w3 ORDER BY y) + (count(*) OVER (PARTITION BY fold, w1, w2, w3, y) - 1) / 2 AS ry FROM h),
+c AS (SELECT fold, w1, w2, w3, round(corr(rx, ry), 6) AS rho FROM r GROUP BY ALL HAVING min(rx) < max(rx) AND min(ry) < max(ry)), f AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY rho DESC, w1, w2, w3) AS pos FROM c WHERE fold IS NOT NULL)
+SELECT f.fold AS held_out, f.w1, f.w2, f.w3, f.rho AS fitted_rho, a.rho FROM f LEFT JOIN c a ON a.fold IS NULL AND a.w1 = f.w1 AND a.w2 = f.w2 AND a.w3 = f.w3 WHERE pos = 1""")
+def weight_fit_folds(spark, sf_dir):
+    """STA-27, leave one out: weights fitted without a system, and how they rank all systems. All folds are one job."""
+    cells = mixes(spark, sf_dir)
+    folds = cells.join(F.broadcast(cells.select(F.col("system").alias("held_out")).distinct()), F.col("held_out") != F.col("system"))  # a row for each system
+    best = reports.argmax(agreed(folds, "held_out"), ["held_out"], "rho", ["w1", "w2", "w3"]).select("held_out", "w1", "w2", "w3", F.col("rho").alias("fitted_rho"))
+    return best.join(agreed(cells).drop("n"), ["w1", "w2", "w3"], "left").select("held_out", "w1", "w2", "w3", "fitted_rho", "rho")
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM c) SELECT user_id, event_type AS law, n, e.total FROM m JOIN (SELECT user_id, count(*) AS total FROM events GROUP BY 1) e USING (user_id) WHERE r = 1")
