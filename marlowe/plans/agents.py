@@ -216,7 +216,7 @@ SPLIT = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda
 def hooked_rerank(spark, sf_dir):
     """FUS-07 and 08, UDF-07: a first stage's 20 best re-ranked by a pair scorer, here the share of shared words."""
     b = Base(spark, sf_dir)
-    pool = retrieve.top_k(b.bm25(), 20)
+    pool = b.bm25(20)
     queries = b.items.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     out = agents.reranked(pool, queries, b.docs.select("doc_id", "text"), agents.overlap_scores, 5)
     return rounded(out.select("qid", "doc_id", "score", F.col("rank").cast("bigint").alias("rank")))

@@ -24,7 +24,7 @@ SETS = """SELECT qid, k, round(h / n_gold, 6) AS recall, (h > 0)::DOUBLE AS hit,
 class Units:
     def __init__(self, spark, sf_dir):
         b = Base(spark, sf_dir)
-        self.run = shown(retrieve.top_k(b.bm25(), 100)).withColumnRenamed("doc_id", "unit")
+        self.run = shown(b.bm25(100)).withColumnRenamed("doc_id", "unit")
         self.links = self.held(b.docs)
         self.present = self.held(b.docs.where("lang = 'en'"))
         self.gold = b.qrels().withColumnRenamed("doc_id", "unit").join(self.links, "unit").select("qid", "article").distinct()

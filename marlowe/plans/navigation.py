@@ -55,7 +55,7 @@ def annotation_coverage(spark, sf_dir):
 def tiered_padding(spark, sf_dir):
     """Five documents by vector, padded to 20 by BM25."""
     b = Base(spark, sf_dir)
-    out = navigate.tiered([retrieve.top_k(b.dense(), 5), retrieve.top_k(b.bm25(), 20)], 20)
+    out = navigate.tiered([retrieve.top_k(b.dense(), 5), b.bm25(20)], 20)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -64,7 +64,7 @@ def pool_rerank(spark, sf_dir):
     """BM25's first 50 by vector score where the vector run has one, the rest after them."""
     b = Base(spark, sf_dir)
     dense = retrieve.top_k(b.dense(), 100).withColumn("score", F.round("score", 6))
-    return navigate.rerank_pool(retrieve.top_k(b.bm25(), 50), dense).withColumn("rank", F.col("rank").cast("bigint"))
+    return navigate.rerank_pool(b.bm25(50), dense).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("WITH g AS (SELECT source, nullif(regexp_extract(text, '[0-9]'), '')::INT AS d, CASE WHEN d > 3 THEN 3 ELSE d END AS g FROM documents) SELECT source, count(*) AS n, round(avg(g), 6) AS mean_grade, round(avg(g) / 3, 6) AS scaled, round(avg((g >= 2)::INT), 6) AS relevant FROM g WHERE g IS NOT NULL GROUP BY source")

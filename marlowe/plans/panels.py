@@ -27,7 +27,7 @@ def graded_panel(spark, sf_dir):
     n = b.terms.groupBy("qid").agg(F.count("*").alias("nq"))
     shared = b.posts.join(b.terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("c"))
     grades = shared.join(n, "qid").withColumn("f", F.col("c") / F.col("nq")).select("qid", "doc_id", F.expr(GRADES).alias("grade")).where("grade IS NOT NULL")
-    return rounded(metrics.graded(retrieve.top_k(b.bm25(), 100), grades))
+    return rounded(metrics.graded(b.bm25(100), grades))
 
 
 @query(f"""WITH {SPANS}, ks AS (SELECT * FROM (VALUES (1), (3), (10)) v(k)), x AS (SELECT doc_id, k, count(DISTINCT qid) AS n FROM q, ks GROUP BY ALL),

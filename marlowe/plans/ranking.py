@@ -39,12 +39,13 @@ class Base:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs, self.items = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
         self.vectors = table(spark, sf_dir, "embeddings")
-        self.posts = retrieve.postings(self.docs)
+        self.posts, self.tokens = retrieve.postings(self.docs), retrieve.tokenised(self.docs)
         self.stats = retrieve.collection(self.docs)
         self.terms = retrieve.query_terms(self.items, id_col="item_id")
 
-    def bm25(self, **options) -> DataFrame:
-        return retrieve.bm25(self.posts, self.terms, self.stats, **options)
+    def bm25(self, k: int, **options) -> DataFrame:
+        """The run of each item's k best."""
+        return retrieve.top_k(retrieve.bm25_top(self.tokens, self.terms, self.stats, k, **options), k)
 
     def queries(self) -> DataFrame:
         return self.vectors.join(self.items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
@@ -75,29 +76,28 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query(f"WITH {BASE} {top(okapi(), 10)}")
 def bm25_topk(spark, sf_dir):
-    return shown(retrieve.top_k(Base(spark, sf_dir).bm25(), 10))
+    return shown(Base(spark, sf_dir).bm25(10))
 
 
 @query(f"WITH {BASE} {top('SELECT qt.qid, po.doc_id, sum(qtf * ln((n + 1) / df) * (1.0 + tf * 2.5 / (1.5 * (1 - 0.75 + 0.75 * dl / avgdl) + tf))) AS score FROM po JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL', 10)}")
 def bm25_plus_topk(spark, sf_dir):
-    return shown(retrieve.top_k(Base(spark, sf_dir).bm25(variant="plus"), 10))
+    return shown(Base(spark, sf_dir).bm25(10, variant="plus"))
 
 
 @query(f"WITH {BASE}, c AS (SELECT qid, doc_id, qtf, ln(n + 1) - ln(df + 0.5) AS idf, tf / (1 - 0.75 + 0.75 * dl / avgdl) AS c FROM po JOIN df USING (term) JOIN qt USING (term), st) {top('SELECT qid, doc_id, sum(qtf * idf * (c + 0.5) * 2.5 / (1.5 + c + 0.5)) AS score FROM c GROUP BY ALL', 10)}")
 def bm25l_topk(spark, sf_dir):
-    return shown(retrieve.top_k(Base(spark, sf_dir).bm25(variant="l"), 10))
+    return shown(Base(spark, sf_dir).bm25(10, variant="l"))
 
 
 @query(f"WITH {BASE} {top('SELECT qt.qid, po.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (1.2 * (1 - 0.75 + 0.75 * dl / avgdl) + tf)) AS score FROM po JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL', 10)}")
 def fts_or_topk(spark, sf_dir):
-    return shown(retrieve.top_k(Base(spark, sf_dir).bm25(variant="fts", k1=1.2, b=0.75, distinct_terms=True), 10))
+    return shown(Base(spark, sf_dir).bm25(10, variant="fts", k1=1.2, b=0.75, distinct_terms=True))
 
 
 @query(f"WITH {BASE} {top(f'SELECT x.* FROM ({okapi(1.5, 0.25)}) x JOIN documents d ON d.doc_id = x.doc_id WHERE lang = $$en$$', 10)}")
 def bm25_filtered_topk(spark, sf_dir):
     b = Base(spark, sf_dir)
-    scored = b.bm25(k1=1.5, b=0.25).join(b.docs.select("doc_id", "lang"), "doc_id")
-    return shown(retrieve.filtered_top_k(scored, F.col("lang") == "en", 10))
+    return shown(b.bm25(10, k1=1.5, b=0.25, among=retrieve.tokenised(b.docs.where("lang = 'en'"))))
 
 
 @query(f"""WITH {BASE}, grid AS (SELECT * FROM (VALUES (1.2, 0.25), (1.2, 0.75), (1.5, 0.25), (1.5, 0.75)) g(k1, b)),
@@ -105,9 +105,9 @@ i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END A
 s AS (SELECT k1, b, qid, doc_id, sum(qtf * idf * tf * (k1 + 1) / (k1 * (1 - b + b * dl / avgdl) + tf)) AS score FROM po JOIN i USING (term) JOIN qt USING (term), st, grid GROUP BY ALL)
 SELECT k1::DOUBLE AS k1, b::DOUBLE AS b, qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank = 1""")
 def bm25_k1_b_grid(spark, sf_dir):
-    """All cells from one join: a posting meets each cell's parameters in its row."""
+    """All cells from one pass: a batch of documents meets each cell's parameters in its task."""
     b = Base(spark, sf_dir)
-    scored = b.bm25(grid=[(k1, bb) for k1 in (1.2, 1.5) for bb in (0.25, 0.75)])
+    scored = retrieve.bm25_top(b.tokens, b.terms, b.stats, 1, grid=[(k1, bb) for k1 in (1.2, 1.5) for bb in (0.25, 0.75)])
     order = Window.partitionBy("k1", "b", "qid").orderBy(F.round("score", 9).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("k1", "b", "qid", "doc_id")
 
@@ -148,7 +148,7 @@ def dense_postfilter_topk(spark, sf_dir):
 @query(f"WITH {BASE}, pool AS ({top(okapi(), 50)}), dn AS ({DOC_DENSE}) {top('SELECT dn.* FROM dn JOIN pool USING (qid, doc_id)', 10)}")
 def sgdr_topk(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return shown(retrieve.rescore_pool(retrieve.top_k(b.bm25(), 50), b.stored(), b.queries(), 10))
+    return shown(retrieve.rescore_pool(b.bm25(50), b.stored(), b.queries(), 10))
 
 
 TWO = f"WITH {BASE}, s AS ({top(okapi(), 100)}), d AS ({top(DOC_DENSE, 100)})"
@@ -156,7 +156,7 @@ TWO = f"WITH {BASE}, s AS ({top(okapi(), 100)}), d AS ({top(DOC_DENSE, 100)})"
 
 def two(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return retrieve.top_k(b.bm25(), 100), retrieve.top_k(b.dense(100), 100)
+    return b.bm25(100), retrieve.top_k(b.dense(100), 100)
 
 
 @query(f"{TWO} {top('SELECT qid, doc_id, 1 / (60 + coalesce(s.rank, 101)) + 1 / (60 + coalesce(d.rank, 101)) AS score FROM s FULL JOIN d USING (qid, doc_id)', 20)}")
@@ -193,7 +193,7 @@ def boost_filter_rerank(spark, sf_dir):
     b = Base(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
     facts = b.docs.select("doc_id", "lang").join(labels, "doc_id", "left").select("doc_id", F.when(F.col("quality") == 0, "Repealed").alias("status"), (F.col("toxic") == 1).alias("term"), (F.col("lang") == "en").alias("jurisdiction"))
-    run = retrieve.top_k(b.bm25(), 50).withColumn("score", F.round("score", 6))
+    run = b.bm25(50).withColumn("score", F.round("score", 6))
     return shown(retrieve.top_k(fuse.boost(run, facts, weights={"term": 1.3, "jurisdiction": 1.1}), 10))
 
 
@@ -219,7 +219,7 @@ ALL = ("precision", "recall", "hit", "rr", "ap", "ndcg", "ndcg_retrieved")
 
 def scores(spark, sf_dir) -> DataFrame:
     b = Base(spark, sf_dir)
-    return metrics.per_query(retrieve.top_k(b.bm25(), 100), b.qrels())
+    return metrics.per_query(b.bm25(100), b.qrels())
 
 
 @query(f"{SCORES} SELECT {rounds(*ALL)} FROM sc")
@@ -235,7 +235,7 @@ def t1_suite(spark, sf_dir):
 @query(f"WITH {BASE}, run AS ({top(okapi(), 100)}), ql AS ({QRELS}) SELECT qid, min(rank) AS first_rank, CASE WHEN count(rank) = count(*) THEN max(rank) END AS last_rank, round(quantile_cont(rank, 0.5), 6) AS median_rank, round(count(rank) / count(*), 6) AS found FROM ql LEFT JOIN run USING (qid, doc_id) GROUP BY qid")
 def rank_of_gold(spark, sf_dir):
     b = Base(spark, sf_dir)
-    out = rounded(metrics.rank_of_gold(retrieve.top_k(b.bm25(), 100), b.qrels()))
+    out = rounded(metrics.rank_of_gold(b.bm25(100), b.qrels()))
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("first_rank", "last_rank")})
 
 
