@@ -18,19 +18,21 @@ def keyed(probes: DataFrame) -> DataFrame:
     return probes.withColumn("term", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("term")))).getField("term"))
 
 
-def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
+def holders(docs: DataFrame, probes: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Distinct (doc_id, probe) where a text of docs (doc_id, text) holds p of probes (probe, p), character by character.
 
     A holder has p's key term as a token. So documents' distinct tokens are pruned by the key terms, joined to the probes, and
     only documents with a candidate are compared; no document meets all probes. Probes without a key term, of a word or two,
     are broadcast in blocks of bounded bytes. Null texts hold nothing and null probes are held nowhere; an empty probe is held
-    by every text. Any number of probes will do.
+    by every text. Any number of probes will do. ``tokens`` (doc_id, tokens) are the texts' if they have been split already.
     """
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
     known = keyed(probes.where("p IS NOT NULL").select("probe", "p"))
     terms = known.where("term IS NOT NULL").select("term").distinct()
-    wanted = F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
-    have = texts.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
+    prunes = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    split = texts.select("doc_id", tx.tokens(F.col("text")).alias("tokens")) if tokens is None else tokens
+    each = split.select("doc_id", F.explode("tokens" if prunes else F.array_distinct("tokens")).alias("term"))
+    have = each.join(F.broadcast(terms) if prunes else terms, "term", "left_semi").distinct()
     pairs = have.join(known.where("term IS NOT NULL"), "term").select("doc_id", "probe", "p")
     out = texts.join(pairs, "doc_id").where(F.contains("text", F.col("p"))).select("doc_id", "probe")
     short = known.where("term IS NULL").select("probe", "p")

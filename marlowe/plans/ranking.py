@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlowe.functions import text as tx
 from marlowe.operators import contain, fuse, metrics, retrieve, stats
 from marlowe.plans.registry import query, spread, table
+from marlowe.sources.writers import kept
 
 TOK = f"regexp_extract_all(lower({{}}), '{tx.TOKEN}')"
 BASE = f"""
@@ -39,13 +42,22 @@ class Base:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs, self.items = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
         self.vectors = table(spark, sf_dir, "embeddings")
-        self.posts, self.tokens = retrieve.postings(self.docs), retrieve.tokenised(self.docs)
-        self.stats = retrieve.collection(self.docs)
+        self.posts, self.stats = retrieve.postings(self.docs), retrieve.collection(self.docs)
         self.terms = retrieve.query_terms(self.items, id_col="item_id")
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """(doc_id, tokens, lang, dl), split once and written, as each search reads them for its lengths, vocabulary and matches."""
+        return kept(retrieve.tokenised(self.docs, "lang").withColumn("dl", F.size("tokens")), "tokens")
+
+    def best(self, k: int, **options) -> DataFrame:
+        """(qid, doc_id, score) with what can be among each item's k best."""
+        about = self.tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        return retrieve.bm25_top(self.tokens, self.terms, about, k, **options)
+
     def bm25(self, k: int, **options) -> DataFrame:
         """The run of each item's k best."""
-        return retrieve.top_k(retrieve.bm25_top(self.tokens, self.terms, self.stats, k, **options), k)
+        return retrieve.top_k(self.best(k, **options), k)
 
     def queries(self) -> DataFrame:
         return self.vectors.join(self.items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
@@ -57,12 +69,13 @@ class Base:
         return retrieve.dense(self.stored(), self.queries(), k=k)
 
     def qrels(self) -> DataFrame:
-        return qrels(self.docs, self.items)
+        """Written once, as metrics read them more than once."""
+        return kept(qrels(self.docs, self.items, self.tokens), "qrels")
 
 
-def qrels(docs: DataFrame, items: DataFrame) -> DataFrame:
+def qrels(docs: DataFrame, items: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Binary judgements (qid, doc_id, grade): the document holds the whole item, in lower case."""
-    found = contain.holders(docs.select("doc_id", F.lower("text").alias("text")), items.select(F.col("item_id").alias("probe"), F.lower("text").alias("p")))
+    found = contain.holders(docs.select("doc_id", F.lower("text").alias("text")), items.select(F.col("item_id").alias("probe"), F.lower("text").alias("p")), tokens)
     return found.select(F.col("probe").alias("qid"), "doc_id", F.lit(1).alias("grade"))
 
 
@@ -97,7 +110,7 @@ def fts_or_topk(spark, sf_dir):
 @query(f"WITH {BASE} {top(f'SELECT x.* FROM ({okapi(1.5, 0.25)}) x JOIN documents d ON d.doc_id = x.doc_id WHERE lang = $$en$$', 10)}")
 def bm25_filtered_topk(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return shown(b.bm25(10, k1=1.5, b=0.25, among=retrieve.tokenised(b.docs.where("lang = 'en'"))))
+    return shown(b.bm25(10, k1=1.5, b=0.25, among=b.tokens.where("lang = 'en'")))
 
 
 @query(f"""WITH {BASE}, grid AS (SELECT * FROM (VALUES (1.2, 0.25), (1.2, 0.75), (1.5, 0.25), (1.5, 0.75)) g(k1, b)),
@@ -107,7 +120,7 @@ SELECT k1::DOUBLE AS k1, b::DOUBLE AS b, qid, doc_id FROM (SELECT *, row_number(
 def bm25_k1_b_grid(spark, sf_dir):
     """All cells from one pass: a batch of documents meets each cell's parameters in its task."""
     b = Base(spark, sf_dir)
-    scored = retrieve.bm25_top(b.tokens, b.terms, b.stats, 1, grid=[(k1, bb) for k1 in (1.2, 1.5) for bb in (0.25, 0.75)])
+    scored = b.best(1, grid=[(k1, bb) for k1 in (1.2, 1.5) for bb in (0.25, 0.75)])
     order = Window.partitionBy("k1", "b", "qid").orderBy(F.round("score", 9).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("k1", "b", "qid", "doc_id")
 
