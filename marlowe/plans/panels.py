@@ -9,6 +9,7 @@ from marlowe.operators import metrics, retrieve
 from marlowe.plans.corpus import SPANS, weights
 from marlowe.plans.ranking import BASE, Base, okapi, rounded, top
 from marlowe.plans.registry import query, table
+from marlowe.sources.writers import kept
 
 GRADES = "CASE WHEN f = 1 THEN 5 WHEN f >= 0.6 THEN 3 WHEN f >= 0.5 THEN 2 WHEN f >= 0.4 THEN 1 END"
 GRADED = f"""WITH {BASE}, run AS ({top(okapi(), 100)}), f AS (SELECT qid, doc_id, count(*) / any_value(nq) AS f FROM po JOIN (SELECT *, count(*) OVER (PARTITION BY qid) AS nq FROM qt) q USING (term) GROUP BY ALL),
@@ -24,9 +25,8 @@ FROM (SELECT qid, k, count_if(grade >= 4) AS high FROM w, ks GROUP BY ALL) x"""
 def graded_panel(spark, sf_dir):
     """Grades from the share of an item's distinct tokens that a document holds."""
     b = Base(spark, sf_dir)
-    n = b.terms.groupBy("qid").agg(F.count("*").alias("nq"))
-    shared = b.posts.join(b.terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("c"))
-    grades = shared.join(n, "qid").withColumn("f", F.col("c") / F.col("nq")).select("qid", "doc_id", F.expr(GRADES).alias("grade")).where("grade IS NOT NULL")
+    shares = retrieve.shares(b.tokens, b.terms, 0.4)
+    grades = kept(shares.withColumnRenamed("share", "f").select("qid", "doc_id", F.expr(GRADES).alias("grade")), "grades")
     return rounded(metrics.graded(b.bm25(100), grades))
 
 
