@@ -55,7 +55,7 @@ def annotation_coverage(spark, sf_dir):
 def tiered_padding(spark, sf_dir):
     """Five documents by vector, padded to 20 by BM25."""
     b = Base(spark, sf_dir)
-    out = navigate.tiered([retrieve.top_k(b.dense(), 5), b.bm25(20)], 20)
+    out = navigate.tiered([retrieve.top_k(b.dense(5), 5), b.bm25(20)], 20)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -63,7 +63,7 @@ def tiered_padding(spark, sf_dir):
 def pool_rerank(spark, sf_dir):
     """BM25's first 50 by vector score where the vector run has one, the rest after them."""
     b = Base(spark, sf_dir)
-    dense = retrieve.top_k(b.dense(), 100).withColumn("score", F.round("score", 6))
+    dense = retrieve.top_k(b.dense(100), 100).withColumn("score", F.round("score", 6))
     return navigate.rerank_pool(b.bm25(50), dense).withColumn("rank", F.col("rank").cast("bigint"))
 
 
