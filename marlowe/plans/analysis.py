@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlowe.operators import stats
+from marlowe.operators import metrics, stats
 from marlowe.operators.inference import POISSON
 from marlowe.plans.ranking import SCORES, Base, cells, rounded, scores, units
 from marlowe.plans.registry import query, table
@@ -198,8 +198,10 @@ BIN = "CASE WHEN r = 1 THEN '1' WHEN r <= 4 THEN '2-4' WHEN r <= 7 THEN '5-7' EL
 
 @query(f"{SCORES} SELECT k, {BIN} AS bin, count(*) AS n, round(avg(recall), 6) AS recall FROM sc JOIN (SELECT qid, count(*) AS r FROM ql GROUP BY qid) c USING (qid) GROUP BY ALL")
 def recall_by_gold_bins(spark, sf_dir):
-    gold = Base(spark, sf_dir).qrels().groupBy("qid").agg(F.count("*").alias("r"))
-    return rounded(scores(spark, sf_dir).join(gold, "qid").groupBy("k", F.expr(BIN).alias("bin")).agg(F.count("*").alias("n"), F.avg("recall").alias("recall")))
+    b = Base(spark, sf_dir)
+    qrels = b.qrels()
+    gold = qrels.groupBy("qid").agg(F.count("*").alias("r"))
+    return rounded(metrics.per_query(b.bm25(100), qrels).join(gold, "qid").groupBy("k", F.expr(BIN).alias("bin")).agg(F.count("*").alias("n"), F.avg("recall").alias("recall")))
 
 
 @query(f"""{SCORES}, g AS (SELECT qid, CASE WHEN length(text) >= (SELECT quantile_cont(length(text), 0.75) FROM benchmark) THEN 'aligned' WHEN length(text) <= (SELECT quantile_cont(length(text), 0.25) FROM benchmark) THEN 'divergent' ELSE 'middle' END AS stratum FROM (SELECT item_id AS qid, text FROM benchmark))
