@@ -32,3 +32,15 @@ def test_drift_of_many_items(spark):
     docs = items.where("item_id % 5 = 0").selectExpr("item_id AS doc_id", "CASE WHEN item_id % 10 = 0 THEN concat('x ', text, ' y') ELSE substr(text, 1, 90) END AS text")
     got = {r["status"]: r["count"] for r in drift(docs, items).groupBy("status").count().collect()}
     assert got == {"IN_TEXT": 2500, "PARTIAL": 2500, "MISSING": 20_000}
+
+
+def test_texts_are_not_shuffled(spark, capsys):
+    """Only candidates move: the plan's one shuffle is that of the distinct results. An id may repeat, and a null one holds nothing."""
+    texts = spark.createDataFrame([(1, "le mot rare ici"), (1, "un autre texte"), (2, "rare mot"), (None, "le mot rare ici")], "doc_id INT, text STRING")
+    probes = spark.createDataFrame([(7, "le mot rare"), (8, "le mot rare"), (None, "un autre texte")], "probe INT, p STRING")
+    out = contain.holders(texts, probes)
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert set(map(tuple, out.collect())) == {(1, 7), (1, 8), (1, None)}
