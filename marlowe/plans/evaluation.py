@@ -5,6 +5,8 @@ Units are documents; each lies in two articles, one of five neighbours (weight 0
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from marlowe.operators import retrieve, units
@@ -23,11 +25,15 @@ SETS = """SELECT qid, k, round(h / n_gold, 6) AS recall, (h > 0)::DOUBLE AS hit,
 
 class Units:
     def __init__(self, spark, sf_dir):
-        b = Base(spark, sf_dir)
+        self.base = b = Base(spark, sf_dir)
         self.run = shown(b.bm25(100)).withColumnRenamed("doc_id", "unit")
         self.links = self.held(b.docs)
         self.present = self.held(b.docs.where("lang = 'en'"))
-        self.gold = b.qrels().withColumnRenamed("doc_id", "unit").join(self.links, "unit").select("qid", "article").distinct()
+
+    @cached_property
+    def gold(self):
+        """Made when asked for, as judgements are written at once."""
+        return self.base.qrels().withColumnRenamed("doc_id", "unit").join(self.links, "unit").select("qid", "article").distinct()
 
     @staticmethod
     def held(docs):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marlowe.operators import navigate, units
+from marlowe.plans import evaluation
 
 RUN, LINKS, GOLD = "qid INT, unit STRING, rank INT, score DOUBLE", "unit STRING, article INT, weight DOUBLE", "qid INT, article INT"
 
@@ -58,3 +59,11 @@ def test_judge_answers_and_chains(spark):
     assert [r.a for r in d.select("i", navigate.abstains(F.col("t"), ["none"]).alias("a")).orderBy("i").collect()] == [False, True, True, False]
     p = spark.createDataFrame([(["x", "x", "y", "z"], 0), ([], 1), (None, 2), (["x"], 3)], "p ARRAY<STRING>, i INT")
     assert [r.c for r in p.select("i", navigate.header_chain(F.col("p")).alias("c")).orderBy("i").collect()] == [["x", "y"], [], None, []]
+
+
+def test_a_run_of_articles_makes_no_judgements(spark, monkeypatch):
+    def refuse(self):
+        raise AssertionError("judgements were made")
+
+    monkeypatch.setattr(evaluation.Base, "qrels", refuse)
+    assert evaluation.article_run(spark, "/root/testdata/sf0.001").columns == ["qid", "article", "score", "first_unit", "rank"]
