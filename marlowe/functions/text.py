@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,37 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+#: A token's characters in UTF-8: those of one byte, and by first byte the second ones of those of two. There are no longer ones.
+LETTERS = [c.encode() for c in map(chr, range(0x800)) if re.fullmatch(TOKEN, c)]
+ONE_BYTE = np.isin(np.arange(256), [c[0] for c in LETTERS if len(c) == 1])
+TWO_BYTES = {x: np.isin(np.arange(256), [c[1] for c in LETTERS if len(c) == 2 and c[0] == x]) for x in sorted({c[0] for c in LETTERS if len(c) == 2})}
+
+
+def token_lists(lowered: pa.Array) -> pa.ListArray:
+    """What ``tokens`` gives for texts that are in lower case already, for use in a task; a null text has an empty list."""
+    lowered = pc.fill_null(lowered, "") if lowered.null_count else lowered
+    width = np.int64 if pa.types.is_large_string(lowered.type) else np.int32
+    ends = np.frombuffer(lowered.buffers()[1] or bytes(8), width)[lowered.offset : lowered.offset + len(lowered) + 1].astype(np.int64)
+    data = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    inside = ONE_BYTE.take(data)
+    for first, second in TWO_BYTES.items():
+        at = np.flatnonzero(data[:-1] == first)
+        at = at[second[data[at + 1]]]
+        inside[at] = inside[at + 1] = True
+    starts, stops = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    starts[:-1] = stops[1:] = inside
+    starts[1:-1] &= ~inside[:-1]
+    stops[1:-1] &= ~inside[1:]
+    cut = ends[(ends > 0) & (ends < len(data))]  # a text ends a token though the next one begins with a letter
+    cut = cut[inside[cut] & inside[cut - 1]]
+    starts[cut] = stops[cut] = True
+    first = np.flatnonzero(starts)
+    places = np.concatenate([[0], np.cumsum(np.flatnonzero(stops) - first)]).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(first), pa.py_buffer(places), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, ends).astype(np.int32)), flat)
+
+
 def store_tokens(text: Column) -> Column:
     """Split at anything but letters, digits and _, without function words; repeats stay."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlowe.functions import text as tx
-from marlowe.operators.retrieve import lengths
+from marlowe.operators.retrieve import cells, unsplit
 from marlowe.sources.writers import kept
 
 #: Bytes of texts without an inner token that are broadcast at a time, and distinct terms up to which they prune tokens as a broadcast.
@@ -26,40 +24,35 @@ def keyed(probes: DataFrame) -> DataFrame:
 
 
 def having(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term): the ``terms`` (term), which go to the tasks, among documents' (doc_id, tokens); a batch has each once a row."""
+    """(doc_id, term): the ``terms`` (term), which go to the tasks, among documents' (doc_id, tokens), split or not; a batch has each once a row."""
     values = pa.array([r["term"] for r in terms.toLocalIterator()], pa.string())  # MOST_TERMS at most
     held = tokens.sparkSession.sparkContext.broadcast(values)
 
     def run(batches):
-        values, n = held.value, max(1, len(held.value))
         for batch in batches:
-            lists = batch.column(1)
-            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = found >= 0
-            key = np.unique(np.repeat(np.arange(batch.num_rows), lengths(lists))[hit] * n + found[hit])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key // n)), values.take(pa.array(key % n))], names=["doc_id", "term"])
+            for low, _, _, row, term, _ in cells(batch.column(1), held.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(low + row)), held.value.take(pa.array(term))], names=["doc_id", "term"])
 
     return tokens.select("doc_id", "tokens").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, term STRING")
 
 
-def holders(docs: DataFrame, probes: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
     """Distinct (doc_id, probe) where a text of docs (doc_id, text) holds p of probes (probe, p), character by character.
 
     A holder has p's key term as a token. So documents' distinct tokens are pruned by the key terms in their tasks, joined to the probes, and
     only documents with a candidate are compared; no document meets all probes. The candidates are written, and broadcast where they are
     few enough, so that no text is shuffled. Probes without a key term, of a word or two,
     are broadcast in blocks of bounded bytes. Null texts hold nothing and null probes are held nowhere; an empty probe is held
-    by every text. Any number of probes will do. ``tokens`` (doc_id, tokens) are the texts' if they have been split already.
+    by every text. Any number of probes will do.
     """
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
     known = keyed(probes.where("p IS NOT NULL").select("probe", "p"))
     terms = known.where("term IS NOT NULL").select("term").distinct()
     prunes = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    split = texts.select("doc_id", tx.tokens(F.col("text")).alias("tokens")) if tokens is None else tokens
     if prunes:
-        have = having(split, terms)
+        have = having(unsplit(texts), terms)
     else:
-        have = split.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi")
+        have = texts.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).join(terms, "term", "left_semi")
     have, long = kept(have.distinct(), "candidates"), known.where("term IS NOT NULL")
     few = (have.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0) <= MOST_PAIRS and (long.agg(F.sum(F.octet_length("p") + 16)).first()[0] or 0) <= MOST_BYTES
     pairs = texts.join(F.broadcast(have), "doc_id").join(F.broadcast(long), "term") if few else texts.join(have.join(long, "term"), "doc_id")

@@ -47,13 +47,18 @@ class Base:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        """(doc_id, tokens, lang, dl), split once and written, as each search reads them for its lengths, vocabulary and matches."""
-        return kept(retrieve.tokenised(self.docs, "lang").withColumn("dl", F.size("tokens")), "tokens")
+        """(doc_id, tokens, lang); whole texts go to the tasks, which split them."""
+        return retrieve.unsplit(self.docs, "lang")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """The vocabulary with the documents' number and length, written, as each search reads it twice."""
+        return kept(retrieve.survey(self.tokens), "vocabulary")
 
     def best(self, k: int, **options) -> DataFrame:
         """(qid, doc_id, score) with what can be among each item's k best."""
-        about = self.tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        return retrieve.bm25_top(self.tokens, self.terms, about, k, **options)
+        counts = self.counts.where("term IS NOT NULL").select("term", "df")
+        return retrieve.bm25_top(self.tokens, self.terms, retrieve.surveyed(self.counts), k, counts=counts, **options)
 
     def bm25(self, k: int, **options) -> DataFrame:
         """The run of each item's k best."""
@@ -70,12 +75,12 @@ class Base:
 
     def qrels(self) -> DataFrame:
         """Written once, as metrics read them more than once."""
-        return kept(qrels(self.docs, self.items, self.tokens), "qrels")
+        return kept(qrels(self.docs, self.items), "qrels")
 
 
-def qrels(docs: DataFrame, items: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def qrels(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Binary judgements (qid, doc_id, grade): the document holds the whole item, in lower case."""
-    found = contain.holders(docs.select("doc_id", F.lower("text").alias("text")), items.select(F.col("item_id").alias("probe"), F.lower("text").alias("p")), tokens)
+    found = contain.holders(docs.select("doc_id", F.lower("text").alias("text")), items.select(F.col("item_id").alias("probe"), F.lower("text").alias("p")))
     return found.select(F.col("probe").alias("qid"), "doc_id", F.lit(1).alias("grade"))
 
 
