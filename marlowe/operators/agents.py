@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlowe.sources.writers import kept
+
+#: Pairs of a first stage up to which they are broadcast, some 40 MB.
+MOST_POOL = 1_000_000
 #: An action in the strict form, and the permissive ones in the order in which they are tried.
 STRICT = r"(?i)Action\s*:\s*(search|lookup|finish)\[([^\]]*)\]"
 PERMISSIVE = [
@@ -106,8 +110,12 @@ def overlap_scores(pairs: list) -> list:
 
 
 def reranked(run: DataFrame, queries: DataFrame, texts: DataFrame, predict: Callable[[list], list], k: int) -> DataFrame:
-    """The k best of a first stage under a pair scorer (qid, query; doc_id, text); of equal scores the first stage's order stays."""
-    met = run.select("qid", "doc_id", F.col("rank").alias("first_rank")).join(texts, "doc_id").join(queries, "qid")
+    """The k best of a first stage under a pair scorer (qid, query; doc_id, text); of equal scores the first stage's order stays.
+
+    The first stage is written, and its pairs are broadcast to the texts where they are few enough, so that no text is shuffled but a pool's.
+    """
+    pool = kept(run.select("qid", "doc_id", F.col("rank").alias("first_rank")), "pool")
+    met = texts.join(F.broadcast(pool) if pool.count() <= MOST_POOL else pool, "doc_id").join(queries, "qid")
     scored = hooked(met, ["query", "text"], predict, "score", T.DoubleType())
     order = Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), "first_rank")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank", "first_rank")
