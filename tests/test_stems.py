@@ -6,10 +6,13 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from marlowe.functions import stems, text
+from marlowe.operators import retrieve
 from marlowe.plans import stemming
+from marlowe.plans.registry import table
 
 SF = "/root/testdata/sf0.001"
 #: The published sample: words and their stems in turn.
@@ -85,3 +88,16 @@ def test_odd_rows(spark):
     assert got == {1: [], 2: [], 3: [], 4: ["continuel", "maison", "maison"]}
     assert {r["doc_id"]: r["stems"] for r in stems.stemmed(df, "doc_id", "text", keep_stops=True).collect()}[3] == ["le", "la", "le"]
     assert stems.stemmed(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_tasks_make_the_stems_of_texts(spark, monkeypatch):
+    """As the postings added up by stem; terms of a stem are one, however few a worker remembers, and no row for a pair of query and document that share a stem is shuffled."""
+    monkeypatch.setattr(stems, "MOST_KNOWN", 3)
+    texts = [None, "", "le la les", "continuellement, maisons maison!", "x"]
+    assert stems.stem_lists(pa.array(texts)).to_pylist() == [[], [], [], ["continuel", "maison", "maison"], ["x"]]
+    assert stems.stem_lists(pa.array(texts).slice(3)).to_pylist() == [["continuel", "maison", "maison"], ["x"]] and stems.stem_lists(pa.array([], pa.string())).to_pylist() == []
+    docs = table(spark, SF, "documents")
+    found = {r["term"]: r["df"] for r in retrieve.survey(stems.stem_docs(retrieve.unsplit(docs), rows=7)).where("term IS NOT NULL").collect()}
+    assert found == {r["term"]: r["df"] for r in retrieve.document_counts(stems.stem_postings(retrieve.postings(docs))).collect()}
+    plan = stemming.stem_bm25_topk(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan
